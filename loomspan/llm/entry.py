@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import jaccard, mixing, pii
+from loomspan.llm import decontaminate, jaccard, mixing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,17 +23,25 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY, counter="n_replaced")
 
 
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.7)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixture(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op5_ngram_jaccard, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_pu, op5_ngram_jaccard, op6_decontamination, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

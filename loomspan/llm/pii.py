@@ -234,9 +234,11 @@ def rewrite(text: Column, key: str, back: bool = False) -> Column:
     return F.when(text.rlike(GATE), F.when(text.rlike(ANY), _let(new, join)).otherwise(none)).otherwise(none)
 
 
-def pseudonymise(docs: DataFrame, key: str, back: bool = False, text: str = "text", counter: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, back: bool = False, text: str = "text", counter: str | None = None, length: str | None = None) -> DataFrame:
     """docs with the text column rewritten; all other columns and all rows stay. counter names a column for the number
-    of values replaced. Empty and null texts stay; back=True restores what the same key has replaced."""
+    of values replaced; length one that holds the text's length and follows its change. Empty and null texts stay; back=True restores what the same key has replaced."""
     out = docs.withColumn("_pii", rewrite(F.col(text), key, back))
-    columns = [F.col("_pii.text").alias(c) if c == text else F.col(c) for c in docs.columns]
+    longer = F.coalesce(F.length("_pii.text") - F.length(text), F.lit(0))
+    own = {text: F.col("_pii.text")} | ({length: (F.col(length) + longer).cast(docs.schema[length].dataType)} if length else {})
+    columns = [own.get(c, F.col(c)).alias(c) for c in docs.columns]
     return out.select(*columns, *([F.col("_pii.n").alias(counter)] if counter else []))

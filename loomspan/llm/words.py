@@ -14,6 +14,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Letters, digits and what lies beyond ASCII stay, in lower case; all else separates.
+_PLAIN = _LOWER.copy()
+_PLAIN[[x for x in range(128) if not chr(x).isalnum()]] = 0x20
 #: Text bytes that are worked on at a time; a longer document is worked on alone.
 CHUNK = 2 << 20
 
@@ -73,10 +76,10 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 class Words:
     """start, end: byte positions of each word; first: n + 1 offsets of the documents' words; hash: 64 bits a word."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    def __init__(self, texts: pa.Array, lower: bool = False, plain: bool = False) -> None:
         data, offsets = raw(texts)
-        if lower:
-            data = _LOWER[data]
+        if lower or plain:
+            data = (_PLAIN if plain else _LOWER)[data]
         self.data, self.offsets = data, offsets
         inside = ~_SPACE[data]
         head, tail = inside.copy(), inside.copy()
