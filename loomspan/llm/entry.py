@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspan.llm import decontaminate, jaccard, mixing, pii, quality
+from loomspan.llm import decontaminate, html, jaccard, langid, mixing, oracles, pii, quality, substrings, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,15 @@ def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.7)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(_table(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
 
@@ -35,14 +45,35 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents"), folds=3, held=1)
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least=1000)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixture(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_pu, op5_ngram_jaccard, op6_decontamination, op9_source_mixing)}
+    every = (
+        op1_pii_pseudonyms, op2_quality_pu, op3_nn_descent, op4_substring_dedup, op5_ngram_jaccard, op6_decontamination,
+        op7_language_mixture, op8_warc_round_trip, op9_source_mixing, op10_html_text,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_nn_descent": oracles.VECTORS,
+        "op4_substring_dedup": oracles.SUBSTRINGS,
+        "op5_ngram_jaccard": oracles.JACCARD,
+        "op8_warc_round_trip": oracles.WARC,
+    }
