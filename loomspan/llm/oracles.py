@@ -10,9 +10,9 @@ WITH RECURSIVE v AS (
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98
-), reach(node, at) AS (
-  SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.at = l.a
-), comp AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node),
+), reach(node, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept, v.label
 FROM v JOIN comp ON comp.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
@@ -37,8 +37,8 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + 3], ' ') AS g FROM pos),
 size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
 links AS (SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
-reach(node, at) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.at = l.a),
-comp AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node)
+reach(node, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, comp.component_id
 FROM d JOIN comp ON comp.node = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
 """
