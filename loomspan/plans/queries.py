@@ -11,6 +11,7 @@ from loomspan.functions import pyops, text
 from loomspan.functions import scalars as sc
 from loomspan.operators import analytics, cache, conversation, topics
 
+from loomspan.plans import pipeline as request_pipeline
 from loomspan.plans.inputs import conversations, request_log, study_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,6 +308,30 @@ def provider_waterfall(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("w", cache.waterfall(attempts)).select("event_id", "w.*")
 
 
+def _requests(spark, sf_dir):
+    """Each conversation is a request; ten sessions."""
+    key = F.col("conv_id").cast("string")
+    rows = conversations(spark, sf_dir).withColumns({"request_seq": F.col("conv_id"), "request_id": key, "session_id": (F.col("conv_id") % 10).cast("string"), "budget_mode": _mode()})
+    return rows.select("request_seq", "request_id", "session_id", "budget_mode", F.col("turn").alias("msg_idx"), "role", F.col("text").alias("content"))
+
+
+@query
+def full_pipeline(spark, sf_dir):
+    done = request_pipeline.optimise(_requests(spark, sf_dir))
+    return done.select("request_id", "budget_mode", "raw_input_tokens", "optimized_input_tokens", "saved_input_tokens", "reverted", "turns_shrunk", "history_filtered", F.array_join("strategies", ",").alias("strategies"))
+
+
+@query
+def live_receipts(spark, sf_dir):
+    done = request_pipeline.optimise(_requests(spark, sf_dir))
+    k = F.col("request_seq")
+    hits = done.where(k % 4 == 0).select("request_id", F.when(k % 8 == 0, "EXACT_HIT").otherwise("SOFT_HIT").alias("label"), F.lit("a stored answer").alias("answer"), F.lit("m0").alias("model"))
+    attempts = F.array(F.struct(F.lit("a").alias("provider"), F.when(k % 3 == 0, 429).otherwise(200).alias("status")), F.struct(F.lit("b").alias("provider"), F.lit(200).alias("status")))
+    upstream = done.select("request_id", attempts.alias("attempts"), F.lit("an answer from a provider").alias("answer"), F.when(k % 2 == 0, k).cast("long").alias("prompt_tokens"), F.lit(None).cast("long").alias("completion_tokens"), F.when(k % 5 == 0, "length").otherwise("stop").alias("finish_reason"))
+    out = request_pipeline.receipts(done, hits, upstream, analytics.output_baseline(request_log(spark, sf_dir)))
+    return out.select("request_id", "cache", "cache_hit", "provider", "failover_used", "raw_input_tokens", "optimized_input_tokens", "upstream_input_tokens", "upstream_token_source", "saved_tokens", "output_tokens", "truncated", "estimated_output_tokens_saved", "output_savings_basis", F.array_join("strategies", ",").alias("strategies"))
+
+
 @query
 def live_metrics(spark, sf_dir):
     return analytics.live_metrics(request_log(spark, sf_dir))
