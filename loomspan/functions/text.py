@@ -52,7 +52,8 @@ URL = r"(?i)https?://[^\s<>\"')]+"
 DELIMITERS = r"(?dm)^[\t ]*([=\-_*~#])\1{7,}[\t ]*$"
 
 # Patterns of what surrounds a question, in order of application.
-GREETING = r"(?iU)^(?:(?:hi|hello|hey|dear|good\s+(?:morning|afternoon|evening)|greetings)\b(?:\s+(?:professor|prof|teacher|tutor|sir|ma'?am|there|ai|bot|assistant|everyone|friends))?[,!.:;\-—\s]*)+"
+GREETING_WORD = r"(?:hi|hello|hey|dear|good\s+(?:morning|afternoon|evening)|greetings)\b"
+GREETING = GREETING_WORD + r"(?:\s+(?:professor|prof|teacher|tutor|sir|ma'?am|there|ai|bot|assistant|everyone|friends))?[,!.:;\-—\s]*"
 PLEASANTRY = r"(?iU)^(?:(?:i\s+)?hope\s+(?:you\s+are|you're)\s+(?:doing\s+well|having\s+a\s+(?:great|good|wonderful|nice)\s+day|well|good)|i\s+hope\s+(?:this\s+finds\s+you\s+well|all\s+is\s+well|you\s+are\s+well|you're\s+doing\s+well))[,!.:;\s]*"
 PREAMBLES = [
     r"\b(?:i\s+am|i'm)\s+(?:really\s+|extremely\s+|super\s+|very\s+)?(?:stressed|anxious|panicking|in\s+a\s+state\s+of\s+panic|freaking\s+out|overwhelmed)[^.!?]*?(?:[.!?]|\band\b|\bso\b|\bbecause\b)\s*",
@@ -129,6 +130,13 @@ def dedup_sentences(text: Column) -> Column:
     return F.when(F.length(text) >= 40, map_prose(text, segment)).otherwise(counted(text, F.lit(0)))
 
 
+def _peel(c: Column, word: str, pattern: str) -> Column:
+    """pattern removed again and again, at most as often as word occurs. A repeated group would do the same, but such
+    groups recurse in the JVM's matcher and a long chain overflows its stack."""
+    n = F.regexp_count(c, F.lit(f"(?iU){word}"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), c, lambda s, _: F.regexp_replace(s, f"(?iU){pattern}", ""))).otherwise(c)
+
+
 def strip_preamble(text: Column) -> Column:
     """The question without greetings, status reports, hedges and thanks; code is left alone."""
     code = r"```[\s\S]*?```|`[^`\n]+`"
@@ -137,13 +145,13 @@ def strip_preamble(text: Column) -> Column:
     masked = replace_matches(text, code, lambda _m, i, _n: tag(i))
 
     def shorten(m: Column) -> Column:
-        c = strip(F.regexp_replace(m, GREETING, ""))
+        c = strip(_peel(m, GREETING_WORD, f"^{GREETING}"))
         c = strip(F.regexp_replace(c, PLEASANTRY, ""))
         for p in PREAMBLES:
             c = strip(F.regexp_replace(c, f"(?iU){p}", ""))
         c = strip(F.regexp_replace(c, f"(?iU){HEDGES}", ""))
-        # the chained prefix of separators is one class: nested repeats of it would take exponential time
-        c = strip(F.regexp_replace(c, rf"(?iU)[,.\s\-—]*(?:{SIGNOFF}[,.\s!]*)+$", ""))
+        c = let(c, lambda x: F.struct(x.alias("old"), _peel(x, SIGNOFF, rf"{SIGNOFF}[,.\s!]*$").alias("new")))
+        c = let(c, lambda x: F.when(x["new"] != x["old"], strip(F.regexp_replace(x["new"], r"(?U)[,.\s\-—]+$", ""))).otherwise(x["old"]))
         c = F.regexp_replace(c, r"(?U)^[,\s.:;\-—]+", "")
         c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"[ \t]+([,.?!])", "$1")
         return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
