@@ -173,9 +173,76 @@ for _p in topics.PREFIXES:
     _CLEAN_Q = _strip(f"regexp_replace({_CLEAN_Q}, {_quote(_p)}, '', 'i')")
 _CLEAN_Q = _collapse(rf"regexp_replace({_CLEAN_Q}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g')")
 
+_CLEAN_EVENT = _strip(r"lower(regexp_replace(question, '^[\s\S]*?Question:', ''))")
+for _p in topics.PREFIXES:
+    _CLEAN_EVENT = _strip(f"regexp_replace({_CLEAN_EVENT}, {_quote(_p)}, '', 'i')")
+_CLEAN_EVENT = _collapse(rf"regexp_replace({_CLEAN_EVENT}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g')")
+
 _NOTE = r"regexp_replace(c.text, '\s+', ' ', 'g') || chr(10) || chr(10) || 'Note: ' || regexp_replace(b.text, '\s+', ' ', 'g') || ' ' || repeat('and so on ', 10)"
 
+_BARE = "'Hi professor! I hope you are doing well. I have an exam tomorrow morning. Could you please tell me ' || text || ' Thanks so much in advance!'"
+_SHORT = _strip(f"regexp_replace({_BARE}, {_quote(f'^(?:{text.GREETING})+')}, '', 'i')")
+for _p in [text.PLEASANTRY.removeprefix("(?iU)")]:
+    _SHORT = _strip(f"regexp_replace({_SHORT}, {_quote(_p)}, '', 'i')")
+for _p in [*text.PREAMBLES, text.HEDGES]:
+    _SHORT = _strip(f"regexp_replace({_SHORT}, {_quote(_p)}, '', 'gi')")
+_SHORT = _strip(f"regexp_replace({_SHORT}, {_quote(rf'[,.{chr(92)}s{chr(92)}-—]*(?:{text.SIGNOFF}[,.{chr(92)}s!]*)+$')}, '', 'i')")
+_SHORT = rf"regexp_replace(regexp_replace(regexp_replace({_SHORT}, '^[,\s.:;\-—]+', ''), '[ \t]+', ' ', 'g'), '[ \t]+([,.?!])', '\1', 'g')"
+_SHORT = _strip(rf"regexp_replace({_SHORT}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+_SCORE = r"""CASE WHEN length(s) < 10 THEN 0.0 ELSE greatest(0.0,
+  CASE WHEN regexp_matches(s, '(?i)\b(?:is defined as|refers to|is the|means that|is a|are a)\b|\b(?:definition|formula|equation|theorem|law|principle|rule)\b') THEN 3.0 ELSE 0.0 END
+  + CASE WHEN regexp_matches(s, '[=<>≤≥]+.*[a-zA-Z].*[=<>≤≥+\-*/^]') THEN 4.0 ELSE 0.0 END + len(regexp_extract_all(s, '\*\*[^*]+\*\*')) * 1.5
+  + CASE WHEN regexp_matches(s, '^\s*(?:\d+[.):]|[-•*])\s+') THEN 1.5 ELSE 0.0 END + CASE WHEN regexp_matches(s, '\d') THEN 0.5 ELSE 0.0 END
+  + CASE WHEN length(s) > 80 THEN 0.5 ELSE 0.0 END - CASE WHEN length(s) < 30 THEN 1.0 ELSE 0.0 END) END"""
+
+_CODE = "'please check' || chr(10) || '```python server.py' || chr(10) || 'def handle(x):' || chr(10) || '" + "' || chr(10) || '".join(f"    step_{k} = load({k})" for k in range(8)) + "' || chr(10) || '    return ' || (turn % 3) || chr(10) || '```'"
+
 ORACLES: dict[str, str] = {
+    "code_prune": f"""
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 1 THEN {_CODE} ELSE 'please check' || chr(10) || '[Code Reference: `server.py` is unchanged from previous turn]' END || chr(10) || text AS content, CAST(CASE WHEN k = 1 THEN 0 ELSE 1 END AS BIGINT) AS code_pruned FROM a""",
+    "study_package": rf"""
+WITH {_LOG}, {_STUDY},
+tp AS (SELECT session_id, topic, count(*) AS q, sum(CAST(cache_hit AS INT)) AS h, min(event_seq) AS f FROM ev GROUP BY session_id, topic),
+qa AS (SELECT session_id, topic, CASE WHEN contains(question, 'Question:') THEN trim(regexp_replace(question, '^[\s\S]*?Question:', '')) ELSE question END AS question, split_part(answer, '. ', 1) || '.' AS answer,
+  row_number() OVER (PARTITION BY session_id, topic ORDER BY event_seq) AS k FROM ev WHERE question <> '' AND answer <> ''),
+lines AS (SELECT session_id, topic, string_agg('- **Q**: ' || question || chr(10) || '  **Key Takeaway**: ' || answer || chr(10), '' ORDER BY k) FILTER (WHERE k <= 2) AS md, max(CASE WHEN k = 1 THEN answer END) AS first FROM qa GROUP BY session_id, topic),
+j AS (SELECT tp.*, q >= 3 OR h >= 2 AS weak, upper(left(tp.topic, 1)) || substr(tp.topic, 2) AS title, coalesce(md, '') AS md, first FROM tp LEFT JOIN lines ON tp.session_id = lines.session_id AND tp.topic = lines.topic),
+g AS (SELECT session_id, string_agg(topic, ',' ORDER BY f) AS topics, string_agg(topic, ', ' ORDER BY f) AS shown, coalesce(string_agg(topic, ',' ORDER BY f) FILTER (WHERE weak), '') AS weak_topics,
+  string_agg('### ' || title || chr(10) || md, chr(10) ORDER BY f) FILTER (WHERE weak) AS weak_md, string_agg('- **' || title || '**: ' || first, chr(10) ORDER BY f) FILTER (WHERE NOT weak AND first IS NOT NULL) AS plain_md FROM j GROUP BY session_id),
+st AS (SELECT session_id, {_COMMON}{_SESSION_METRICS} FROM log GROUP BY session_id)
+SELECT g.session_id, topics, weak_topics, concat_ws(chr(10), '# 5-Minute Revision Sheet — Session `' || g.session_id || '`' || chr(10), '**Topics Studied**: ' || shown || chr(10),
+  CASE WHEN weak_md IS NOT NULL THEN '## ⚠️ Areas Needing Reinforcement (Struggling Topics)' || chr(10) || weak_md ELSE '## ✅ Great Job! No persistent struggle patterns detected.' || chr(10) END, '## Quick Reference Summary', plain_md) AS revision_sheet,
+  requests, cache_hits, round_even(cache_hits / requests, 4) AS cache_hit_rate, saved_tokens, secrets_redacted + pii_redacted AS total_redactions FROM g JOIN st ON g.session_id = st.session_id""",
+    "preamble_strip": f"""
+WITH a AS (SELECT conv_id, turn, {_BARE} AS raw, {_SHORT} AS t FROM conversations), b AS (SELECT *, CASE WHEN length(t) < 2 THEN raw ELSE t END AS u FROM a),
+c AS (SELECT *, CASE WHEN left(u, 1) <> upper(left(u, 1)) THEN upper(left(u, 1)) || substr(u, 2) ELSE u END AS v FROM b)
+SELECT conv_id, turn, CASE WHEN length(v) < length(raw) THEN v ELSE raw END AS text, CAST(CASE WHEN length(v) < length(raw) THEN 1 ELSE 0 END AS BIGINT) AS n FROM c""",
+    "response_summary": rf"""
+WITH {_CONV},
+old AS (SELECT *, n >= 3 AND role = 'assistant' AND p < la AND length(text) > 200 AS old FROM conv),
+sp AS (SELECT conv_id, p, string_split(regexp_replace({_strip('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM old WHERE old),
+se AS (SELECT conv_id, p, {_strip('x')} AS s, i FROM (SELECT conv_id, p, unnest(l) AS x, unnest(range(len(l))) AS i FROM sp)),
+sc AS (SELECT conv_id, p, s, i, max(i) OVER (PARTITION BY conv_id, p, s) AS z, {_SCORE} AS score FROM se WHERE s <> ''),
+rk AS (SELECT *, row_number() OVER w AS rn, sum(length(s)) OVER (PARTITION BY conv_id, p ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING) AS cum FROM sc WINDOW w AS (PARTITION BY conv_id, p ORDER BY score DESC, i)),
+ag AS (SELECT conv_id, p, string_agg(s, ' ' ORDER BY z, i) FILTER (WHERE rn = 1 OR cum <= 200) AS t FROM rk GROUP BY conv_id, p),
+fi AS (SELECT o.conv_id, o.p, o.text, CASE WHEN o.old THEN CASE WHEN ag.t IS NULL THEN left(o.text, 200) || '...' ELSE '[AI prior response (~' || len(regexp_extract_all(o.text, '\S+')) || ' words): ' || ag.t || ']' END ELSE o.text END AS content
+  FROM old o LEFT JOIN ag ON o.conv_id = ag.conv_id AND o.p = ag.p)
+SELECT conv_id, CAST(count(*) FILTER (WHERE content <> text) OVER (PARTITION BY conv_id) AS BIGINT) AS n, CAST(p - 1 AS BIGINT) AS position, content FROM fi""",
+    "topic_cluster": f"""
+WITH RECURSIVE {_STUDY},
+q AS (SELECT session_id, event_seq, {_CLEAN_EVENT} AS c, row_number() OVER (PARTITION BY session_id ORDER BY event_seq) AS k FROM ev),
+r(session_id, k, event_seq, seen, topic) AS (
+  SELECT DISTINCT session_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), '' FROM ev
+  UNION ALL
+  SELECT x.session_id, x.k, x.event_seq, list_append(x.seen, x.t), x.t FROM (
+    SELECT y.session_id, y.k, y.event_seq, y.seen, CASE WHEN y.c = '' THEN 'general' WHEN len(y.hits) > 0 THEN y.hits[1] WHEN len(y.own) > 0 THEN array_to_string(y.own[1:3], ' ') ELSE array_to_string(string_split(y.c, ' ')[1:2], ' ') END AS t FROM (
+      SELECT r.session_id, q.k, q.event_seq, r.seen, q.c, list_filter(string_split(q.c, ' '), lambda w: length(w) > 1 AND NOT list_contains({_list(topics.STOP_WORDS)}, w)) AS own,
+        list_filter(r.seen, lambda s: contains(q.c, s) OR contains(s, q.c) OR (len(list_filter(string_split(s, ' '), lambda w: NOT list_contains({_list(topics.STOP_WORDS)}, w))) > 0
+          AND list_has_all(string_split(q.c, ' '), list_filter(string_split(s, ' '), lambda w: NOT list_contains({_list(topics.STOP_WORDS)}, w))))) AS hits
+      FROM r JOIN q ON r.session_id = q.session_id AND q.k = r.k + 1) y) x)
+SELECT session_id, event_seq, topic FROM r WHERE k > 0""",
     "token_estimate": f"SELECT doc_id, CAST({_tokens('text')} AS BIGINT) AS tokens FROM documents",
     "request_tokens": f"SELECT conv_id, CAST(sum({_tokens('text')} + 4) AS BIGINT) AS tokens, count(*) AS messages FROM conversations GROUP BY conv_id",
     "request_validation": "SELECT conv_id, count(*) AS messages FROM conversations GROUP BY conv_id HAVING count(*) <= 6",
