@@ -70,6 +70,18 @@ def embedding_terms(df: DataFrame, key: str, text: str, dimension: int = DIMENSI
     return sums.join(length, key).select(key, "idx", (F.col("v") / F.col("len")).alias("w"))
 
 
+def dense(terms: DataFrame, key: str, dimension: int = DIMENSION) -> DataFrame:
+    """Sparse vectors (key, idx, w) as arrays of `dimension` numbers."""
+    held = terms.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("_m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("long")), F.lit(0.0)))
+    return held.select(key, at.alias("vector"))
+
+
+def embed_preview(vector: Column, n: int = 8) -> Column:
+    """The first numbers of a vector."""
+    return F.slice(vector, 1, n)
+
+
 def normalize(vector: Column) -> Column:
     """Scaled to length one; a zero vector stays."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))

@@ -112,6 +112,18 @@ def redact(text: Column) -> Column:
     return F.when(text.rlike(r"\d{3}|@|[A-Za-z0-9_.~+/-]{16}"), done).otherwise(state)
 
 
+def redact_parts(parts: Column) -> Column:
+    """struct<parts, secrets, pii> of a multipart content: text parts are redacted each by itself, other parts stay."""
+    done = F.transform(parts, lambda p: F.struct(p.alias("p"), F.when((p["type"] == "text") & p["text"].isNotNull(), redact(p["text"])).alias("r")))
+
+    def result(d: Column) -> Column:
+        new = F.transform(d, lambda x: F.when(x["r"].isNotNull(), x["p"].withField("text", x["r"]["text"])).otherwise(x["p"]))
+        total = lambda f: F.aggregate(d, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(f(x["r"]), F.lit(0).cast("long")))
+        return F.struct(new.alias("parts"), total(lambda r: r["secrets"]).alias("secrets"), total(lambda r: r["emails"] + r["phones"]).alias("pii"))
+
+    return let(done, result)
+
+
 def dedup_sentences(text: Column) -> Column:
     """Later copies of a sentence of 20 characters or more go; the first says how many there were."""
     def segment(part: Column) -> Column:

@@ -194,3 +194,8 @@ def study_packages(events: DataFrame, log: DataFrame) -> DataFrame:
     sheet = F.array_join(F.concat(F.array(F.concat(F.lit("# 5-Minute Revision Sheet — Session `"), F.col("session_id"), F.lit("`\n")), F.concat(F.lit("**Topics Studied**: "), F.array_join("topics", ", "), F.lit("\n")), weak_part, F.lit("## Quick Reference Summary")), F.col("plain_md")), "\n")
     stats = session_stats(log).withColumn("cache_hit_rate", F.bround("cache_hit_rate", 4))
     return pack.join(stats, "session_id", "left").select("session_id", "topics", "weak_topics", sheet.alias("revision_sheet"), "requests", "cache_hits", "cache_hit_rate", "saved_tokens", "total_redactions")
+
+
+def finish_session(events: DataFrame, log: DataFrame, session_id: str) -> DataFrame:
+    """One session's package; no row if it has neither events nor requests."""
+    return study_packages(events.where(F.col("session_id") == session_id), log.where(F.col("session_id") == session_id))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars as sc
+from loomspan.functions import text
 from loomspan.operators import analytics, cache, conversation, topics
 from loomspan.sources import tables
 from loomspan.streaming import replay
@@ -15,6 +16,59 @@ def test_thresholds_and_tiers(spark):
     assert got == {1: (7, "HIT"), 2: (7, "HIT"), 3: (7, "SOFT_HIT"), 4: (7, "MISS")}
 
 
+def test_vector_scan_in_parts(spark):
+    rows = spark.range(60).select((F.col("id") * 2 + 1).alias("query_id"), F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    entries = spark.range(90).select(F.col("id").alias("entry_id"), F.array(F.sin(F.col("id") % 45), F.cos(F.col("id") % 45)).alias("vector"))
+    whole = {r.query_id: (r.entry_id, round(r.similarity, 9)) for r in cache.best_vector(rows, entries).collect()}
+    parts = {r.query_id: (r.entry_id, round(r.similarity, 9)) for r in cache.best_vector(rows, entries, block=40).collect()}
+    assert whole == parts and len(whole) == 60 and all(e < 45 for e, _ in whole.values())
+
+
+def test_embedding(spark):
+    df = spark.createDataFrame([(1, "The cat, the CAT!"), (2, ""), (3, "... !!")], "k long, t string")
+    terms = sc.embedding_terms(df, "k", "t")
+    from hashlib import sha256
+
+    want = [0.0] * 384
+    for w in ("the", "cat", "the", "cat"):
+        d = sha256(w.encode()).digest()
+        want[int.from_bytes(d[:4], "big") % 384] += 1 if d[4] % 2 == 0 else -1
+    length = sum(x * x for x in want) ** 0.5
+    got = {r.k: r.vector for r in sc.dense(terms, "k").collect()}
+    assert set(got) == {1} and got[1] == pytest.approx([x / length for x in want])
+
+
+def test_multipart_guard(spark):
+    parts = [("text", "mail a@b.example", None), ("image_url", None, "{}"), ("text", "token: " + "x" * 20, None)]
+    df = spark.createDataFrame([(parts,)], "parts array<struct<type:string,text:string,raw:string>>")
+    got = df.select(text.redact_parts(F.col("parts")).alias("r")).first().r
+    assert (got.secrets, got.pii) == (1, 1) and got.parts[0].text == "mail [REDACTED_EMAIL_1]" and got.parts[1].raw == "{}"
+
+
+def test_bpe(spark, tmp_path):
+    import base64
+
+    from loomspan.functions import bpe
+
+    tokens = [bytes([k]) for k in range(256)] + [b"th", b"the"]
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    count = bpe.counter(str(tmp_path / "ranks"))
+    df = spark.createDataFrame([("the",), ("then",), (None,), ("",)], "c string")
+    assert [r[0] for r in df.select(count("c")).collect()] == [1, 2, 1, 0]
+
+
+def test_plans(spark):
+    """Columns and filters reach the scan; native operators run no Python; text operators don't shuffle."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = plan(docs.where("lang = 'en'").select("doc_id", text.redact(F.col("text"))["text"]))
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in one and "n_chars" not in one and "source" not in one
+    for op in (text.redact, text.dedup_sentences, text.compact_phrases, text.normalize_structure, text.describe_binary, text.strip_preamble):
+        p = plan(docs.select(op(F.col("text"))))
+        assert "Python" not in p and "Exchange" not in p
+
+
 def test_dimension_mismatch(spark):
     df = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     with pytest.raises(Exception, match="different lengths"):
