@@ -145,3 +145,27 @@ def test_config():
     with pytest.raises(ValueError, match="provider_2_model"):
         tables.providers({"provider_2_name": "n", "provider_2_base_url": "u", "provider_2_api_key": "k"})
     assert tables.dotenv("# c\nA=1\nB = 'x'\n", {"A": "0"}) == {"A": "0", "B": "x"}
+
+
+def test_catalog(spark):
+    from hashlib import sha256
+
+    from loomspan.plans import catalog
+
+    catalog.register(spark, "/root/testdata/sf0.001")
+    row = spark.sql("select text_tokens('abcdefgh') as t, cache_key_hash(' A  b ') as h, code_outline('class A: pass') as o, (select count(*) from region) as n").first()
+    assert (row.t, row.h, row.o, row.n) == (2, sha256(b"a b").hexdigest(), "Classes: [A]", 5)
+
+
+def test_receipts_hold_together(spark):
+    from loomspan.plans.queries import QUERIES
+
+    rows = QUERIES["live_receipts"](spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    for r in rows:
+        if r.cache_hit:
+            assert (r.provider, r.upstream_input_tokens, r.saved_tokens, r.upstream_token_source) == ("cache", 0, r.raw_input_tokens, "cache")
+        else:
+            assert r.saved_tokens == r.raw_input_tokens - r.optimized_input_tokens and "provider_proxy" in r.strategies
+            assert r.failover_used == ("provider_waterfall" in r.strategies)
+        assert not r.truncated or r.estimated_output_tokens_saved == 0
