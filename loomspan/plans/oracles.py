@@ -359,7 +359,7 @@ WITH {_RECEIPT}, x AS (SELECT *, coalesce(cache, 'MISS') AS ca FROM rc), t AS (
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY o) - 1 AS position, type, title, message, action FROM t""",
     "session_study_events": f"WITH {_STUDY} SELECT session_id, event_seq, topic, cache_hit FROM ev",
     "session_topics": f"WITH {_STUDY}, a AS (SELECT session_id, topic, min(event_seq) AS f FROM ev GROUP BY session_id, topic) SELECT session_id, topic, row_number() OVER (PARTITION BY session_id ORDER BY f) AS position FROM a",
-    "latest_code_snapshot": "SELECT CAST(l_suppkey AS VARCHAR) AS session_id, 'file' || l_linenumber AS file_key, 'x = ' || arg_max(l_partkey, l_orderkey * 10 + l_linenumber) AS code FROM lineitem GROUP BY l_suppkey, l_linenumber",
+    "latest_code_snapshot": "SELECT CAST(l_suppkey AS VARCHAR) AS session_id, 'file' || l_linenumber AS file_key, 'x = ' || arg_max(l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS code FROM lineitem GROUP BY l_suppkey, l_linenumber",
     "topic_extract": f"""
 WITH c AS (SELECT conv_id, turn, {_CLEAN_Q} AS c FROM conversations), w AS (SELECT *, list_filter(string_split(c, ' '), lambda x: length(x) > 1 AND NOT list_contains({_list(topics.STOP_WORDS)}, x)) AS own FROM c)
 SELECT conv_id, turn, CASE WHEN c = '' THEN 'general' WHEN len(own) > 0 THEN array_to_string(own[1:3], ' ') ELSE array_to_string(string_split(c, ' ')[1:2], ' ') END AS topic FROM w""",

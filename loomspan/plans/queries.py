@@ -393,7 +393,7 @@ def session_topics(spark, sf_dir):
 
 @query
 def latest_code_snapshot(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("session_id"), F.concat(F.lit("file"), F.col("l_linenumber").cast("string")).alias("file_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("snapshot_seq"), F.concat(F.lit("x = "), F.col("l_partkey").cast("string")).alias("code"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("session_id"), F.concat(F.lit("file"), F.col("l_linenumber").cast("string")).alias("file_key"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("snapshot_seq"), F.concat(F.lit("x = "), F.col("l_partkey").cast("string")).alias("code"))
     return analytics.latest_snapshots(rows)
 
 
