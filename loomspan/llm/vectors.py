@@ -2,10 +2,11 @@
 
 Equal vectors of a label take part once. A first graph of K neighbours comes from blocks of nearby vectors: cells of
 random hyperplanes, several times over, each cell compared with itself. The graph is then refined: the neighbours of a
-vector, forward and backward, are compared with one another, and every list keeps its best. Rounds go on until hardly
-any link above the threshold is new. Lists are never full of links: whatever is compared in one place gives, besides the
+vector, forward and backward, are compared with one another, and every list keeps its best. Rounds go on until no
+link above the threshold joins two components. Lists are never full of links: whatever is compared in one place gives, besides the
 best K of each vector, all its links above the threshold as a spanning forest, so a list saturated with links grows to
-all of them. An audit compares a sample of vectors with all others; below the recall asked for, more cells are added.
+all of them. An audit compares a sample of vectors of small and of large components with all others; while the average
+recall of either is below the one asked for, more cells are added, and if it stays there the query fails.
 Links are counted exactly inside each component, block by block, without making rows of pairs.
 """
 
@@ -21,8 +22,9 @@ from pyspark.sql.window import Window
 
 from loomspan.llm.common import components, materialize
 
-#: Neighbours in a list; vectors of a block, and of a chunk of it; cells' tables at first; sample of the audit.
-K, BLOCK, TABLES, AUDIT, RECALL, ROUNDS = 10, 1024, 4, 256, 0.99, 4
+#: Neighbours in a list; vectors of a block, and of a chunk of it; cells' tables of a turn; sample of the audit from each
+#: kind of component; turns before a recall that stays too low is an error.
+K, BLOCK, TABLES, AUDIT, RECALL, ROUNDS, TURNS = 10, 1024, 4, 256, 0.99, 4, 8
 _SEED = 3
 _PAIRS = "u long, v long, sim double"
 
@@ -192,30 +194,60 @@ def _count(reps: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return tasks.mapInArrow(run, "uid long, links long").groupBy("uid").agg(F.sum("links").alias("links"))
 
 
-def audit(reps: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Recall: of the links of AUDIT sampled vectors or so with all others, the share inside components."""
-    total = reps.count()
-    share = F.pmod(F.xxhash64(F.lit(_SEED), "uid"), F.lit(1_000_003)) < int(min(1.0, AUDIT / max(1, total)) * 1_000_003) + 1
-    placed = reps.join(found, F.col("uid") == F.col("node"), "left").select("space", "uid", F.coalesce("component", "uid").alias("component"), "vector")
-    asked = placed.where(share).toArrow()
+def _links(pairs: DataFrame, threshold: float) -> DataFrame:
+    return pairs.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def _merge(found: DataFrame | None, links: DataFrame) -> tuple[DataFrame, int]:
+    """found, (node, component), with the links (a, b); and how many pairs of components they join that were apart."""
+    if found is not None:
+        for end in ("a", "b"):
+            of = found.select(F.col("node").alias(end), F.col("component").alias("of"))
+            links = links.join(of, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    apart = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "apart")
+    many = apart.count()
+    if found is not None and not many:
+        return found, 0
+    over = components(apart, "near")
+    if found is not None:
+        top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        moved = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        over = moved.unionAll(over.join(found.select("node"), "node", "left_anti"))
+    return materialize(over, "near"), many
+
+
+def audit(reps: DataFrame, found: DataFrame, threshold: float, k: int = K) -> float:
+    """Recall: the share inside components of a sampled vector's links with all others, on average over the vectors that
+    have links. Components of up to k vectors and larger ones have AUDIT samples or so each, and the lower average counts."""
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = reps.join(found.join(sizes, "component"), F.col("uid") == F.col("node"), "left")
+    placed = materialize(placed.select("space", "uid", F.coalesce("component", "uid").alias("component"), "vector", (F.coalesce("size", F.lit(1)) > k).alias("large")), "placed")
+    totals = dict(placed.groupBy("large").count().toArrow().to_pandas().itertuples(index=False))
+    share = {large: int(min(1.0, AUDIT / max(1, totals.get(large, 0))) * 1_000_003) + 1 for large in (False, True)}
+    drawn = F.pmod(F.xxhash64(F.lit(_SEED), "uid"), F.lit(1_000_003)) < F.when(F.col("large"), share[True]).otherwise(share[False])
+    asked = placed.where(drawn).toArrow()
     spaces = asked.column("space").to_numpy()
-    queries = {int(x): (asked.filter(pa.array(spaces == x)).column("component").to_numpy(), asked.filter(pa.array(spaces == x)).column("uid").to_numpy(), _unit(asked.filter(pa.array(spaces == x)).column("vector").combine_chunks())) for x in np.unique(spaces)}
+    queries = {}
+    for x in np.unique(spaces):
+        own = asked.filter(pa.array(spaces == x))
+        queries[int(x)] = (*(own.column(c).to_numpy(zero_copy_only=False) for c in ("component", "uid", "large")), _unit(own.column("vector").combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = links = 0
+        sums = {x: np.zeros((2, len(q[1])), np.int64) for x, q in queries.items()}
         for b in batches:
-            space, uid, component = (b.column(k).to_numpy() for k in range(3))
+            space, uid, component = (b.column(c).to_numpy() for c in range(3))
             for x in np.unique(space):
                 if int(x) in queries:
                     at = np.flatnonzero(space == x)
-                    c, q, rows = queries[int(x)]
+                    c, q, _, rows = queries[int(x)]
                     linked = (rows @ _unit(b.column(3).take(pa.array(at))).T >= threshold) & (q[:, None] != uid[at][None])
-                    links += int(linked.sum())
-                    hits += int((linked & (c[:, None] == component[at][None])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([hits]), pa.array([links])], ["hits", "links"])
+                    sums[int(x)] += (linked & (c[:, None] == component[at][None])).sum(1), linked.sum(1)
+        for x, (hits, links) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(queries[x][1]), pa.array(queries[x][2]), pa.array(hits), pa.array(links)], ["uid", "large", "hits", "links"])
 
-    hits, links = placed.mapInArrow(run, "hits long, links long").agg(F.sum("hits"), F.sum("links")).first()
-    return hits / links if links else 1.0
+    each = placed.select("space", "uid", "component", "vector").mapInArrow(run, "uid long, large boolean, hits long, links long")
+    each = each.groupBy("large", "uid").agg(F.sum("hits").alias("hits"), F.sum("links").alias("links")).where("links > 0")
+    return min((r.recall for r in each.groupBy("large").agg(F.avg(F.col("hits") / F.col("links")).alias("recall")).collect()), default=1.0)
 
 
 def _numbered(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -253,24 +285,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
     some = base.where("usable").select("vec_id", "space", "vector").distinct()
     reps = materialize(some.groupBy("space", "vector").agg(F.min("vec_id").alias("uid"), F.count(F.lit(1)).alias("copies")), "reps")
     reps, shared = _numbered(reps)
-    graph = links = None
-    for turn in range(3):
+    graph = found = None
+    for turn in range(TURNS):
         new = materialize(_cells(reps, range(turn * TABLES, (turn + 1) * TABLES), threshold, k), "cells")
-        for _ in range(ROUNDS):
-            old = graph
-            pairs = new if graph is None else new.unionAll(graph)
-            graph = materialize(_best(pairs, k), "graph")
-            more = new.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-            before = links
-            links = materialize(more if links is None else links.unionAll(more).distinct(), "links")
-            if old is not None and before is not None and links.count() <= 1.001 * before.count():
+        for turned in range(ROUNDS):
+            found, joined = _merge(found, _links(new, threshold))
+            if turned and not joined:
                 break
+            graph = materialize(_best(new if graph is None else new.unionAll(graph), k), "graph")
             new = materialize(_refine(graph, reps, threshold, k), "refined")
-        found = components(links, "near")
-        if audit(reps, found, threshold) >= RECALL:
+        recall = audit(reps, found, threshold, k)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"op3: recall of links is {recall:.4f} after {TURNS} turns of cells and refinement, below {RECALL}")
     if shared is not None:
-        found = _renamed(components(links.unionAll(shared), "near"), reps)
+        found = _renamed(_merge(found, shared)[0], reps)
     counts = materialize(_count(reps, found, threshold), "counts")
     placed = reps.join(found, F.col("uid") == F.col("node"), "left").join(counts, "uid", "left")
     placed = placed.select("space", "vector", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))

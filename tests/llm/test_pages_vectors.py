@@ -78,6 +78,28 @@ def test_vectors_recall_at_scale(spark):
         assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
 
 
+def test_vectors_audit_sees_missed_pairs(spark):
+    """One large group that is found whole doesn't hide that all small pairs were missed."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=32)
+    vecs = [base + rng.normal(size=32) * 0.01 for _ in range(150)]
+    for _ in range(10):
+        x = rng.normal(size=32)
+        vecs += [x, x + rng.normal(size=32) * 0.01]
+    reps = spark.createDataFrame([(1, k, v.tolist()) for k, v in enumerate(vecs)], "space long, uid long, vector array<double>")
+    found = spark.createDataFrame([(k, 0) for k in range(150)], "node long, component long")
+    assert vectors.audit(reps, found, 0.98) == 0
+    whole = found.unionAll(spark.createDataFrame([(k, k - k % 2) for k in range(150, 170)], found.schema))
+    assert vectors.audit(reps, whole, 0.98) == 1
+
+
+def test_vectors_fail_loudly(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TURNS", 1, raising=False)
+    monkeypatch.setattr(vectors, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.5"):
+        vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int"))
+
+
 # WARC
 
 @pytest.fixture(scope="module")
