@@ -3,9 +3,9 @@
 Equal vectors of a label take part once. A first graph of K neighbours comes from blocks of nearby vectors: cells of
 random hyperplanes, several times over, each cell compared with itself. The graph is then refined: the neighbours of a
 vector, forward and backward, are compared with one another, and every list keeps its best. Rounds go on until no
-link above the threshold joins two components. Lists are never full of links: whatever is compared in one place gives, besides the
-best K of each vector, all its links above the threshold as a spanning forest, so a list saturated with links grows to
-all of them. An audit compares a sample of vectors of small and of large components with all others; while the average
+link above the threshold joins two components. Whatever is compared in one place gives, besides the best K of each vector, all its
+links above the threshold as a spanning forest. A list whose K neighbours are all links grows by the best K of other
+components; a link among these joins the two and makes room, so that no list stays full of links. An audit compares a sample of vectors of small and of large components with all others; while the average
 recall of either is below the one asked for, more cells are added, and if it stays there the query fails.
 Links are counted exactly inside each component, block by block, without making rows of pairs.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,50 +67,71 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         labels = least
 
 
-def _compare(ids: np.ndarray, rows: np.ndarray, worst: np.ndarray | None, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best k of each row that beat its list's worst, and a spanning forest of the links."""
+def _best_of(sims: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and similarity of the best n of each row."""
+    top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+    i, j = np.repeat(np.arange(len(sims)), n), top.ravel()
+    return i, j, sims[i, j]
+
+
+def _compare(ids: np.ndarray, rows: np.ndarray, component: np.ndarray, worst: np.ndarray, far: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each row that beat its list's worst, for rows whose list is full of links the best k of other
+    components too that beat the worst of those, and a spanning forest of the links."""
     sims = rows @ rows.T
     np.fill_diagonal(sims, -2)
     m = len(ids)
     n = min(k, m - 1)
     if n < 1:
         return ids[:0], ids[:0], np.empty(0)
-    top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-    i, j = np.repeat(np.arange(m), n), top.ravel()
-    s = sims[i, j]
-    if worst is not None:
-        good = s > worst[i]
-        i, j, s = i[good], j[good], s[good]
+    i, j, s = _best_of(sims, n)
+    least = s.reshape(m, n).min(1) if n == k else np.full(m, -2.0)
+    full = np.flatnonzero(np.maximum(least, worst) >= threshold)
+    good = s > worst[i]
+    i, j, s = i[good], j[good], s[good]
     linked = sims >= threshold
     touched = np.flatnonzero(linked.any(1))
     if len(touched):
-        root = touched[_forest(linked[np.ix_(touched, touched)])]
-        a, b = touched[root != touched], root[root != touched]
+        root = np.arange(m)
+        root[touched] = touched[_forest(linked[np.ix_(touched, touched)])]
+        for a in range(0, len(full), BLOCK):
+            at = full[a : a + BLOCK]
+            away = (component[at][:, None] != component[None]) & (root[at][:, None] != root[None])
+            x, y, z = _best_of(np.where(away, sims[at], -2), n)
+            good = z > far[at][x]
+            i, j, s = np.r_[i, at[x[good]]], np.r_[j, y[good]], np.r_[s, z[good]]
+        a, b = touched[root[touched] != touched], root[touched][root[touched] != touched]
         # a vector and its root may be linked through others only; their own similarity says nothing then
         i, j, s = np.r_[i, a], np.r_[j, b], np.r_[s, np.full(len(a), np.inf)]
     return ids[i], ids[j], s
 
 
-def _pairs(groups: DataFrame, threshold: float, k: int, worst: bool) -> DataFrame:
-    """groups: (group, uid, vector[, worst]), a group's rows together."""
+def _pairs(groups: DataFrame, threshold: float, k: int) -> DataFrame:
+    """groups: (group, uid, vector, component, worst, far), a group's rows together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
             ids = g.column("uid").to_numpy()
             ids, at = np.unique(ids, return_index=True)
             rows = _unit(g.column("vector").combine_chunks())[at]
-            least = g.column("worst").to_numpy()[at] if worst else None
+            component, worst, far = (g.column(c).to_numpy()[at] for c in ("component", "worst", "far"))
             # a group that was not cut small enough is compared in stretches
             for a in range(0, len(ids), 4 * BLOCK):
                 cut = slice(a, a + 4 * BLOCK)
-                u, v, s = _compare(ids[cut], rows[cut], None if least is None else least[cut], threshold, k)
+                u, v, s = _compare(ids[cut], rows[cut], component[cut], worst[cut], far[cut], threshold, k)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
 
     return groups.mapInArrow(run, _PAIRS)
 
 
-def _cells(reps: DataFrame, tables: range, threshold: float, k: int) -> DataFrame:
+def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows with the component of each uid; a vector without links is its own."""
+    if found is None:
+        return rows.withColumn("component", F.col("uid"))
+    return rows.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+
+
+def _cells(reps: DataFrame, found: DataFrame | None, tables: range, threshold: float, k: int) -> DataFrame:
     """Best neighbours in the cells of random hyperplanes, for each table."""
     per = reps.groupBy("space").agg(F.count(F.lit(1)).alias("many"))
     sized = reps.join(per, "space")
@@ -138,27 +159,43 @@ def _cells(reps: DataFrame, tables: range, threshold: float, k: int) -> DataFram
     cells = materialize(cells, "cells")
     full = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("full"))
     cells = cells.join(full, cell).withColumn("cut", F.pmod(F.xxhash64("uid", "t"), F.ceil(F.col("full") / (2 * BLOCK))))
-    groups = cells.select(F.xxhash64(*cell, "cut").alias("group"), "uid", "vector").repartition("group").sortWithinPartitions("group")
-    return _pairs(groups, threshold, k, False)
+    groups = _placed(cells.select(F.xxhash64(*cell, "cut").alias("group"), "uid", "vector"), found)
+    groups = groups.select("group", "uid", "vector", "component", F.lit(-2.0).alias("worst"), F.lit(-2.0).alias("far"))
+    return _pairs(groups.repartition("group").sortWithinPartitions("group"), threshold, k)
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each list; links from forests, whose similarity is infinite, are no neighbours."""
+def _best(pairs: DataFrame, found: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The k best of each list, and the k best of other components (far) for a list that is full of links: (u, v, sim, far).
+    Links from forests, whose similarity is infinite, are no neighbours."""
     once = pairs.where("sim <= 1.5").groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-
-
-def _refine(graph: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
+    order = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
+    rank = once.withColumn("rank", F.row_number().over(order))
+    rank = rank.withColumn("last", F.max(F.when(F.col("rank") == k, F.col("sim"))).over(Window.partitionBy("u")))
+    rank = materialize(rank.where((F.col("rank") <= k) | (F.col("last") >= threshold)), "ranked")
+    # the first k of a full list are all in its own component
+    more = rank.where(F.col("rank") > k).select("u", "v", "sim")
+    for end in ("u", "v"):
+        more = more.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    more = more.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).withColumn("rank", F.row_number().over(order))
+    near = rank.where(F.col("rank") <= k).select("u", "v", "sim", F.lit(False).alias("far"))
+    return near.unionAll(more.where(F.col("rank") <= k).select("u", "v", "sim", F.lit(True).alias("far")))
+
+
+def _refine(graph: DataFrame, found: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
     """Compares the neighbours of each vector with one another."""
-    worst = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-    both = graph.select(F.col("u").alias("c"), F.col("v").alias("m")).unionAll(graph.select(F.col("v").alias("c"), F.col("u").alias("m")))
-    both = both.unionAll(worst.select(F.col("u").alias("c"), F.col("u").alias("m"))).distinct()
+    def least(kind: Column) -> Column:
+        return F.when(F.count_if(kind) >= k, F.min(F.when(kind, F.col("sim")))).otherwise(F.lit(-2.0))
+
+    worst = graph.groupBy("u").agg(least(~F.col("far")).alias("worst"), least(F.col("far")).alias("far"))
+    both = graph.select(F.col("u").alias("c"), F.col("v").alias("uid")).unionAll(graph.select(F.col("v").alias("c"), F.col("u").alias("uid")))
+    both = both.unionAll(worst.select(F.col("u").alias("c"), F.col("u").alias("uid"))).distinct()
     many = both.groupBy("c").agg(F.count(F.lit(1)).alias("many"))
-    both = both.join(many, "c").withColumn("cut", F.pmod(F.xxhash64("m"), F.ceil(F.col("many") / BLOCK)))
-    rows = both.join(reps.select(F.col("uid").alias("m"), "vector"), "m").join(worst.withColumnRenamed("u", "m"), "m", "left")
-    groups = rows.select(F.xxhash64("c", "cut").alias("group"), F.col("m").alias("uid"), "vector", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    return _pairs(groups.repartition("group").sortWithinPartitions("group"), threshold, k, True)
+    both = both.join(many, "c").withColumn("cut", F.pmod(F.xxhash64("uid"), F.ceil(F.col("many") / BLOCK)))
+    known = _placed(reps.select("uid", "vector"), found).join(worst.withColumnRenamed("u", "uid"), "uid", "left")
+    none = F.lit(-2.0)
+    known = known.select("uid", "vector", "component", F.coalesce("worst", none).alias("worst"), F.coalesce("far", none).alias("far"))
+    groups = both.join(known, "uid").select(F.xxhash64("c", "cut").alias("group"), "uid", "vector", "component", "worst", "far")
+    return _pairs(groups.repartition("group").sortWithinPartitions("group"), threshold, k)
 
 
 def _count(reps: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -287,13 +324,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
     reps, shared = _numbered(reps)
     graph = found = None
     for turn in range(TURNS):
-        new = materialize(_cells(reps, range(turn * TABLES, (turn + 1) * TABLES), threshold, k), "cells")
+        new = materialize(_cells(reps, found, range(turn * TABLES, (turn + 1) * TABLES), threshold, k), "cells")
         for turned in range(ROUNDS):
             found, joined = _merge(found, _links(new, threshold))
             if turned and not joined:
                 break
-            graph = materialize(_best(new if graph is None else new.unionAll(graph), k), "graph")
-            new = materialize(_refine(graph, reps, threshold, k), "refined")
+            graph = materialize(_best(new if graph is None else new.unionAll(graph.drop("far")), found, threshold, k), "graph")
+            new = materialize(_refine(graph, found, reps, threshold, k), "refined")
         recall = audit(reps, found, threshold, k)
         if recall >= RECALL:
             break

@@ -100,6 +100,18 @@ def test_vectors_fail_loudly(spark, monkeypatch):
         vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int"))
 
 
+def test_vectors_saturated_lists_grow(spark, monkeypatch):
+    """Two groups of more than k close copies, joined by one pair above the threshold that no cell holds."""
+    monkeypatch.setattr(vectors, "audit", lambda *_: 1.0)
+    angle = np.r_[np.arange(14) * -0.01, np.arccos(0.981) + np.arange(14) * 0.01]
+    rows = [(k, [float(np.cos(x)), float(np.sin(x))], 1) for k, x in enumerate(angle)]
+    cell = [(a, b, float(np.cos(angle[a] - angle[b]))) for a in range(28) for b in range(28) if a != b and {a, b} != {0, 14}]
+    monkeypatch.setattr(vectors, "_cells", lambda *_: spark.createDataFrame(cell, vectors._PAIRS))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, k=4).collect()}
+    assert got == brute_vectors(rows) and {c for _, c in got.values()} == {0}
+
+
 # WARC
 
 @pytest.fixture(scope="module")
