@@ -24,7 +24,7 @@ from loomspan.llm.common import components, materialize
 
 #: Neighbours in a list; vectors of a block, and of a chunk of it; cells' tables of a turn; sample of the audit from each
 #: kind of component; turns before a recall that stays too low is an error.
-K, BLOCK, TABLES, AUDIT, RECALL, ROUNDS, TURNS = 10, 1024, 4, 256, 0.99, 4, 8
+K, BLOCK, TABLES, AUDIT, RECALL, TURNS = 10, 1024, 4, 256, 0.99, 8
 _SEED = 3
 _PAIRS = "u long, v long, sim double"
 
@@ -324,13 +324,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
     reps, shared = _numbered(reps)
     graph = found = None
     for turn in range(TURNS):
-        new = materialize(_cells(reps, found, range(turn * TABLES, (turn + 1) * TABLES), threshold, k), "cells")
-        for turned in range(ROUNDS):
-            found, joined = _merge(found, _links(new, threshold))
-            if turned and not joined:
-                break
+        cells = _cells(reps, found, range(turn * TABLES, (turn + 1) * TABLES), threshold, k)
+        new = materialize(cells if graph is None else cells.unionAll(new), "cells")
+        found, joined = _merge(found, _links(new, threshold))[0], 1
+        while joined:
             graph = materialize(_best(new if graph is None else new.unionAll(graph.drop("far")), found, threshold, k), "graph")
             new = materialize(_refine(graph, found, reps, threshold, k), "refined")
+            found, joined = _merge(found, _links(new, threshold))
         recall = audit(reps, found, threshold, k)
         if recall >= RECALL:
             break

@@ -112,6 +112,22 @@ def test_vectors_saturated_lists_grow(spark, monkeypatch):
     assert got == brute_vectors(rows) and {c for _, c in got.values()} == {0}
 
 
+def test_vectors_rounds_end_by_convergence(spark, monkeypatch):
+    """Every round finds the next link of a chain; the last one counts too."""
+    turn = iter(range(1, 9))
+
+    def refine(*_):
+        k = next(turn)
+        return spark.createDataFrame([(k, k + 1, 0.99)] if k < 7 else [], vectors._PAIRS)
+
+    monkeypatch.setattr(vectors, "audit", lambda *_: 1.0)
+    monkeypatch.setattr(vectors, "_cells", lambda *_: spark.createDataFrame([(0, 1, 0.99)], vectors._PAIRS))
+    monkeypatch.setattr(vectors, "_refine", refine)
+    rows = [(k, [float(np.cos(0.15 * k)), float(np.sin(0.15 * k))], 1) for k in range(8)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.component_id for r in got} == dict.fromkeys(range(8), 0)
+
+
 # WARC
 
 @pytest.fixture(scope="module")
