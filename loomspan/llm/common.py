@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,27 +15,60 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of the tables that the running operator has written; outside of one none are noted.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary
+    folder; on a cluster, whose executors couldn't see it, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: this operator needs a folder that all executors share")
         root = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one. Inside an operator it goes when the operator ends."""
+    path = f"{shared_dir(spark)}/loomspan/{tag}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again. Cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomspan/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(paths: list[str]) -> None:
+    context = SparkSession.active().sparkContext
+    for p in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator's result is written; tables that it wrote on the way are removed, whether it ends well or not."""
 
+    @wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        outer, mine = _written.get(), []
+        _written.set(mine)
+        try:
+            out = operator(*args, **options)
+            _written.set(outer)
+            return materialize(out, operator.__name__)
+        finally:
+            _written.set(outer)
+            _remove(mine)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return run
 
 
 def fold(key: Column, parts: int) -> Column:

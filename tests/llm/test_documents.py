@@ -176,11 +176,8 @@ def brute_components(sets, num, den):
     return {k: root(k) for k in sets}
 
 
-@pytest.mark.parametrize(("most", "star"), [(4096, 512), (3, 2)])
-def test_jaccard_against_brute_force(spark, monkeypatch, most, star):
-    monkeypatch.setattr(jaccard, "MOST", most)
-    monkeypatch.setattr(jaccard, "STAR", star)
-    rng = np.random.default_rng(3)
+def families(rng):
+    """Texts of many sizes, each with near copies around the threshold, and a passage that many texts share."""
     texts = []
     for size in (1, 3, 5, 8, 14, 30, 60, 150, 400):
         base = [f"w{x}" for x in rng.integers(0, 3000, size)]
@@ -191,25 +188,67 @@ def test_jaccard_against_brute_force(spark, monkeypatch, most, star):
                 new[at] = f"e{rng.integers(0, 10**6)}"
             texts.append(" ".join(new))
             texts.append(" ".join(new[: max(1, size - edits)]))
-    texts += [None, "", "  ", "One Two", "one  two", "the same words as here again", "the same words as here again"]
-    sets = {k: shingles(t) for k, t in enumerate(texts)}
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in jaccard.near_duplicates(df).collect()}
-    assert {k: r.component_id for k, r in got.items()} == brute_components(sets, 85, 100)
+    passage = " ".join(f"p{x}" for x in range(80))
+    texts += [f"{passage} {' '.join(f'q{x}' for x in rng.integers(0, 10**6, k))}" for k in range(1, 60)]
+    return texts + [None, "", "  ", "One Two", "one  two", "the same words as here again", "the same words as here again"]
+
+
+@pytest.mark.parametrize(("num", "shingle", "most"), [(85, 4, 4096), (85, 4, 3), (80, 5, 6)])
+def test_jaccard_against_brute_force(spark, monkeypatch, num, shingle, most):
+    monkeypatch.setattr(jaccard, "MOST", most)
+    monkeypatch.setattr(jaccard, "DEALT", 5000)
+    reached = []
+    real = jaccard._survivors
+
+    def survivors(*args):
+        out = real(*args)
+        reached.extend(r.rep for r in out.select("rep").distinct().collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "_survivors", survivors)
+    texts = families(np.random.default_rng(3))
+    sets = {k: shingles(t, shingle) for k, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in jaccard.near_duplicates(df, shingle, num, 100).collect()}
+    want = brute_components(sets, num, 100)
+    assert {k: r.component_id for k, r in got.items()} == want
     assert {k: r.n_shingles for k, r in got.items()} == {k: len(s) for k, s in sets.items()}
+    # whatever is linked with another set came out of a tree
+    first = {}
+    for k, s in sets.items():
+        first.setdefault(frozenset(s), k)
+    groups = defaultdict(set)
+    for k, s in sets.items():
+        groups[want[k]].add(first[frozenset(s)])
+    assert {x for g in groups.values() if len(g) > 1 for x in g} <= set(reached)
 
 
 def test_jaccard_keys_are_complete():
+    """Linked sets share a key that both keep, whatever the order of shingles and however many hold each key."""
     rng = np.random.default_rng(4)
-    for n in [*range(6, 40), 100, 333]:
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        for _ in range(20):
-            gone = int(rng.integers(1, max(2, n // 12)))
-            b = np.unique(np.r_[np.delete(a, rng.integers(0, len(a), gone)), rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1)), dtype=np.uint64)])
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 85 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                keys, doc = jaccard.keys_of(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), 85, 100)
-                assert set(keys[doc == 0].tolist()) & set(keys[doc == 1].tolist())
+    rank = rng.integers(0, 4, jaccard.CELLS).astype(np.uint8)
+    for num in (80, 85):
+        for n in [*range(6, 40), 100, 333, 900]:
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            for _ in range(20):
+                gone = int(rng.integers(1, max(2, n // 9)))
+                b = np.unique(np.r_[np.delete(a, rng.integers(0, len(a), gone)), rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1)), dtype=np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+                    keys, doc = jaccard.prefix(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), rank, num, 100)
+                    often = dict(zip(np.unique(keys).tolist(), rng.permutation(len(np.unique(keys))).tolist(), strict=True))
+                    kept = []
+                    for d, s in enumerate((a, b)):
+                        mine = sorted(keys[doc == d].tolist(), key=often.get, reverse=True)
+                        kept.append(set(mine[-(len(s) * num // -100) // jaccard.SPARE :]))
+                    assert kept[0] & kept[1]
+
+
+def test_points_that_overflow_bound_nothing():
+    same = np.arange(40, dtype=np.uint64)  # all in one group
+    p = jaccard.point(same)
+    assert jaccard.folded(p, 40, 16).max() == 40 and jaccard.folded(p, 40, 16).sum() >= 40
+    assert jaccard.connect([p, p], np.array([40, 40]), np.arange(2), np.zeros(2, int), 85, 100)[0] == [(0, 1)]
 
 
 def test_r_tree_join_is_complete():
