@@ -189,6 +189,52 @@ def test_page_without_article():
     assert html.main_text(page).split("\n") == ["A heading", long.strip(), "Short one.", long.strip()]
 
 
+ITALIAN = "Questa è una prova della lingua italiana che contiene molte parole di uso comune e non è presente in alcuna lista; di certo la frase è lunga e la lettura di essa non è difficile per chi conosce la lingua. "
+
+
+def test_page_in_another_language():
+    page = f"<body><header><h1>Site name</h1><p>Tagline of the site</p></header><div class=menu><a href=/>Home</a></div><p>{ITALIAN}</p><p>{ITALIAN[10:]}</p><p>Il gatto e la volpe. {ITALIAN}</p><footer>x</footer></body>"
+    assert html.main_text(page).split("\n") == [ITALIAN.strip(), ITALIAN[10:].strip(), f"Il gatto e la volpe. {ITALIAN}".strip()]
+
+
+def test_names_inside_the_article():
+    page = "<article><p class=legal>A b c</p><p class='related-work'>d e f</p><section class='side-effects'><p>g h i</p></section><ul><li>one<li class='share'>two<li>three</ul><a href=/x/>link</a> end<div class='cookie-notice'>We use</div><div class=adSlot>Buy</div><table><tr><td>1<td>2<tr><td>3</table><header><p>Kept</p></header></article>"
+    assert html.main_text(page).split("\n") == ["A b c", "d e f", "g h i", "one", "two", "three", "link end", "1", "2", "3", "Kept"]
+
+
+def test_menus_inside_the_article():
+    item = "<li><a href=/x>Some page</a></li>"
+    assert html.main_text(f"<article><p>Text</p><ul>{item * 3}</ul><p><a href=/y>One link</a></p></article>") == "Text"
+    assert html.main_text(f"<article><p>Text</p><ul>{item * 2}</ul><p>More</p></article>") == "Text\nSome page\nSome page\nMore"
+
+
+def test_generated_pages():
+    """Pages made of known parts: the article's blocks come back, and nothing else."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeéoßñ"), rng.integers(1, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    junk = [
+        lambda: f"<nav><ul><li><a href='/{word()}'>{say(2)}</a><li><a href=/x/>{say(1)}</a></ul></nav>", lambda: f"<div class='{rng.choice(['ad', 'ad-slot-3', 'cookie-notice', 'site-menu', 'relatedPosts'])}'><p>{say(30)}</p></div>",
+        lambda: f"<aside><h3>{say(2)}</h3><p>{say(20)}</aside>", lambda: f"<form><p>{say(3)}</p><input value='>'><button>Ok</button></form>", lambda: f"<script>var x = '<p>{say(3)}</p>';</script><style>p > a {{}}</style>",
+        lambda: f"<!-- {say(4)} <p> -->", lambda: f"<section id=comments><article class=comment><p>{say(40)}</p></article></section>", lambda: f"<footer><p>&copy; {say(9)}</p></footer>", lambda: f"<div style='display: none'>{say(5)}</div>",
+    ]
+    for _ in range(200):
+        want, body = [], []
+        for _ in range(rng.integers(1, 9)):
+            if rng.random() < 0.4:
+                body.append(rng.choice(junk)())
+            words = [word() for _ in range(rng.integers(1, 60))]
+            want.append(" ".join(words) + " & <x>")
+            shown = " ".join(f"<{t}>{w}</{t}>" if (t := rng.choice(["", "b", "i", "span", "code"])) and rng.random() < 0.2 else w for w in words).replace(" ", "&nbsp;\n", 1) + " &amp; &lt;x&gt;"
+            kind = rng.choice(["p", "h2", "li", "blockquote", "div", "td"])
+            own = "" if rng.random() < 0.7 else " class='legal'" if kind in ("p", "h2") else f" class={word()}"
+            text = f"<{kind}{own}>{shown}" + (f"</{kind}>" if kind not in ("p", "li", "td") or rng.random() < 0.5 else "")
+            body.append(f"<ul>{text}</ul>" if kind == "li" else f"<table><tr>{text}</table>" if kind == "td" else text)
+        around = [rng.choice(junk)() for _ in range(rng.integers(0, 4))]
+        page = f"<html><body><header><h2>{say(2)}</h2><p>{say(30)}</p></header>{''.join(around)}<article>{''.join(body)}</article>{''.join(around)}</body>"
+        assert html.main_text(page).split("\n") == want, page
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<", "a < b & c", "<article>" * 3000 + "x", "<p title='" + "a" * 100_000, "<!-- never closed", "<script>x", "&#0;&#xD800;&bogus;", "<div " * 20_000])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
