@@ -1,6 +1,8 @@
 """PII, quality, substring dedup, n-gram Jaccard join, decontamination, language, mixing: against brute force and on odd rows."""
 
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 from itertools import combinations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import common, decontaminate, fmindex, jaccard, langid, mixing, oracles, pii, quality, rtree, substrings
 from loomspan.llm import entry as llm
+from loomspan.llm.words import mix
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
@@ -345,6 +348,82 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.98
 
 
+def naive_words(text):
+    """Words as lists of buckets, by character: letters and marks stay, A-Z in lower case."""
+    out = []
+    for w in "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text or "").split():
+        b = bytes(x + 32 if 65 <= x <= 90 else x for x in w.encode())
+        b = b"\0" + b + b"\0"
+        codes = []
+        for size in (2, 3, 4):
+            for i in range(size - 1, len(b)):
+                # an n-gram ends at a letter, or at the edge behind the word; it may begin at the edge before it
+                code = int.from_bytes(b[i - size + 1 : i + 1], "big")
+                codes.append(int(mix(np.array([code + (size - 1 << 40)], np.uint64))[0]) >> 48)
+        out.append(codes)
+    return out
+
+
+def naive_mixture(text, table, penalty=1.0):
+    """(language, share) by the definition, word by word."""
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return -1, 0.0
+    log = np.array([[row[c].sum(dtype=float) for row in table] for c in naive_words(text)])
+    like = np.exp(0.3 * (log - log.max(1, keepdims=True)))
+
+    def em(part, steps):
+        share = np.full(part.shape[1], 1 / part.shape[1])
+        for _ in range(steps):
+            total = (part * share).sum(1)
+            share = (part * share / total[:, None]).sum(0)
+            share = share / share.sum()
+        return share, np.log(total).sum()
+
+    order = np.argsort(-em(like, 10)[0], kind="stable")
+    best, worth = None, -np.inf
+    for k in range(1, len(table) + 1):
+        share, total = em(like[:, order[:k]], 1 if k == 1 else 10)
+        total -= penalty * (k - 1) * np.log(len(like) + 1)
+        if total <= worth + 1e-9:
+            break
+        best, worth = dict(zip(order[:k].tolist(), share.tolist(), strict=True)), total
+    lang = max(sorted(best), key=best.get)
+    return lang, best[lang]
+
+
+def test_language_against_the_definition(spark, docs):
+    langs, table = langid.learn(docs)
+    seen = [r for r in docs.where("lang is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    assert langs == sorted({r.lang for r in seen})
+    for k, lang in enumerate(langs):
+        counts = Counter(c for r in seen if r.lang == lang for w in naive_words(r.text) for c in w)
+        want = np.full(langid.BUCKETS, 0.5)
+        want[list(counts)] += list(counts.values())
+        assert np.allclose(table[k], np.log(want / want.sum()), atol=1e-4)
+    texts = [r.text for r in docs.limit(60).collect() if len(r.text or "") < 4000]
+    texts += [f"{a} {b}" for a, b in zip(texts, texts[7:], strict=False)] + ["ÀÉ naïve cafe\u0301 中文 हिन्दी", "x", "", None, "———", "… 123 “”", "✓✓", "€ 5", "\u00a0", "\u0301"]
+    best, score, _ = langid.mixture(pa.array(texts), table)
+    for text, b, s in zip(texts, best.tolist(), score.tolist(), strict=True):
+        want = naive_mixture(text, table)
+        assert (b, pytest.approx(s, abs=2e-3)) == want, text
+
+
+def test_long_texts_are_read_in_parts(docs):
+    langs, table = langid.learn(docs)
+    text = " ".join(r.text or "" for r in docs.collect()) + " ———"
+    parts = list(langid._parts(pa.array([text]), 50_000))
+    assert "".join(p[0].as_py() for p in parts) == text and len(parts) > 2
+    whole = langid.mixture(pa.array([text]), table)
+    real = langid._parts
+    langid._parts = lambda x: real(x, 50_000)
+    try:
+        cut = langid.mixture(pa.array([text]), table)
+    finally:
+        langid._parts = real
+    assert whole[0] == cut[0] and abs(whole[1] - cut[1]) < 1e-3 and whole[2] == cut[2]
+    assert [p[0].as_py() for p in real(pa.array(["é" * 10]), 5)] == ["ééé", "ééé", "ééé", "é"]
+
+
 def test_language_mixture_counts_languages(spark, docs):
     langs, table = langid.learn(docs)
     en, fr = (" ".join(r.text for r in docs.where(f"lang = '{x}' and length(text) between 500 and 5000").limit(3).collect())[:3000] for x in ("en", "fr"))
