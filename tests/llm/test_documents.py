@@ -331,6 +331,31 @@ def test_block_max_bounds_lose_nothing():
                 assert (row, int(index.owner[piece]), a) in got
 
 
+def test_scores_are_the_same_in_parts(spark, monkeypatch):
+    """Partial copies near the threshold come or go alike, however many parts the benchmark is held in."""
+    rng = np.random.default_rng(9)
+    items = [" ".join(f"t{int(x)}" for x in rng.zipf(1.4, rng.integers(6, 90)) % 400) + "." for _ in range(120)]
+    texts = []
+    for k, item in enumerate(items):
+        w = item.split()
+        cut = rng.random(len(w)) < rng.choice([0.05, 0.2, 0.4])
+        texts.append(f"a b c {' '.join(f'z{k}' if c else x for x, c in zip(w, cut, strict=True))} d e")
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    want = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench, question=0.2, answer=0.2).collect()}
+    monkeypatch.setattr(decontaminate, "ITEMS", 12)
+    assert len(decontaminate.indexes(bench)) == 10
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench, question=0.2, answer=0.2).collect()}
+    assert set(got) == set(want) and 20 < len(got) < 120
+    assert all(abs(got[k].score - want[k].score) < 1e-9 for k in want)
+
+
+def test_index_grows_with_its_postings():
+    rng = np.random.default_rng(10)
+    index = decontaminate.Index(list(range(600)), [" ".join(f"u{int(x)}" for x in rng.integers(0, 10**6, 64)) for _ in range(600)])
+    assert len(index.max_key) <= len(index.impact) <= 600 * 64 and index.blocks == 75
+
+
 def test_leaks_on_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, ""), (4, "w1 w2 w3 w4 w5 w6 w7 w8. w9 w10 w11"), (5, "!!!")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).collect()}
