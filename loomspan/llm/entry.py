@@ -11,9 +11,6 @@ from loomspan.llm import decontaminate, html, jaccard, langid, mixing, oracles,
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The pseudonyms' key in the registered query; a real run passes its own secret.
-PII_KEY = "loomspan-demo-key"
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY, counter="n_replaced")
+    return pii.pseudonymise(docs, pii.key_of(spark), counter="n_replaced")
 
 
 def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
