@@ -1,6 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, and the mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next.
+Of odd rows: a null text or an empty one is a document like any other for the quality classifier and has size 0 in the mix; it
+is nobody's near-duplicate and holds neither benchmark items nor personal data. Rows without a doc_id stay in near_duplicates,
+rows of one doc_id become one there. An empty table stays empty; columns that documents doesn't have are passed on.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm import decontaminate, jaccard, mixing, pii, quality
 from loomspan.llm.common import materialize
-from loomspan.llm.entry import PII_KEY
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates, addresses and secrets replaced by pseudonyms; n_chars follows."""
-    return pii.pseudonymise(docs, PII_KEY, length="n_chars")
+    return pii.pseudonymise(docs, pii.key_of(spark), length="n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
