@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
 
@@ -53,24 +54,47 @@ def _remove(paths: list[str]) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are removed at the end, whether it ends well or not."""
+    outer, mine = _written.get(), []
+    _written.set(mine)
+    try:
+        yield
+    finally:
+        _written.set(outer)
+        _remove(mine)
+
+
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The operator's result is written; tables that it wrote on the way are removed, whether it ends well or not."""
+    """The operator's result is written, and the tables that it wrote on the way are removed."""
 
     @wraps(operator)
     def run(*args, **options) -> DataFrame:
-        outer, mine = _written.get(), []
-        _written.set(mine)
-        try:
-            out = operator(*args, **options)
+        outer = _written.get()
+        with scratch():
+            out, mine = operator(*args, **options), _written.get()
             _written.set(outer)
-            return materialize(out, operator.__name__)
-        finally:
-            _written.set(outer)
-            _remove(mine)
+            try:
+                return materialize(out, operator.__name__)
+            finally:
+                _written.set(mine)
 
     return run
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or a longer one that no column has."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key as text, mod parts; a null key falls into fold 0."""
     return F.coalesce(F.crc32(key.cast("string")) % F.lit(parts), F.lit(0))

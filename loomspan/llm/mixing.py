@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspan.llm.common import materialize, n_words
+from loomspan.llm.common import fresh, materialize, n_words, quoted
 
 BITS, LEVEL = 60, 12
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -102,9 +102,13 @@ def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """The mix itself: all columns of docs, a row for each copy that is taken, numbered from 1 in mix_copy."""
+    """The mix itself: all columns of docs, whatever their names, a row for each copy that is taken, numbered from 1 in
+    mix_copy, which gets underscores where docs has such a column. Null and empty texts have size 0 and are taken as their
+    source is; rows that repeat entirely are taken alike; an empty table gives an empty mix."""
     _, bounds = plan(docs, weights, share, most, seed)
-    own = bounds.select(F.struct(F.col("source"), "copies", "below").alias("_bound"))
-    both = docs.withColumn("_h", row_hash(seed)).join(own, F.col("source").eqNullSafe(F.col("_bound.source")))
-    n = F.col("_bound.copies") + F.when(F.col("_h") < F.col("_bound.below"), 1).otherwise(0)
-    return both.withColumn("_n", n).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("mix_copy"))
+    bound, copy = fresh("bound", docs.columns), fresh("mix_copy", docs.columns)
+    own = bounds.select(F.struct("source", "copies", "below").alias(bound))
+    times = F.col(f"{bound}.copies") + F.when(row_hash(seed) < F.col(f"{bound}.below"), 1).otherwise(0)
+    both = docs.join(own, F.col("source").eqNullSafe(F.col(f"{bound}.source")))
+    copies = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))
+    return both.select(*map(quoted, docs.columns), F.explode(copies).alias(copy))

@@ -15,6 +15,8 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import fresh, quoted
+
 ROUNDS = 10
 #: Dates of 400 years from this one on are known.
 YEAR_0, YEARS = 1800, 400
@@ -304,14 +306,11 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, text: str = "tex
     stay; back=True restores what the same key has replaced."""
     if not key:
         raise ValueError("a key is needed")
-    done = "pii"
-    while done in (c.lower() for c in docs.columns):
-        done += "_"
-    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
-    out = docs.select("*", rewrite(quoted[text], key, back).alias(done))
+    done = fresh("pii", docs.columns)
+    out = docs.select("*", rewrite(quoted(text), key, back).alias(done))
     own = {text: F.col(f"{done}.text")}
     if length:
-        longer = F.coalesce(F.length(own[text]) - F.length(quoted[text]), F.lit(0))
-        own[length] = (quoted[length] + longer).cast(docs.schema[length].dataType)
-    columns = [own.get(c, quoted[c]).alias(c) for c in docs.columns]
+        longer = F.coalesce(F.length(own[text]) - F.length(quoted(text)), F.lit(0))
+        own[length] = (quoted(length) + longer).cast(docs.schema[length].dataType)
+    columns = [own.get(c, quoted(c)).alias(c) for c in docs.columns]
     return out.select(*columns, *([F.col(f"{done}.n").alias(counter)] if counter else []))

@@ -230,7 +230,45 @@ def test_quality_on_odd_rows(spark, odd, none):
 def test_class_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
-    assert abs(quality.class_prior(p[:2000], np.r_[p[2000:], n[:1000]]) - 2 / 3) < 0.07
+    cuts, u = quality.cuts_of(p[:2000]), np.r_[p[2000:], n[:1000]]
+    bins = np.array([sum((cuts <= z).sum() == k for z in u) for k in range(len(cuts) + 1)])
+    assert abs(quality.class_prior(p[:2000], cuts, bins) - 2 / 3) < 0.07
+
+
+def test_risk_and_gradient_against_the_definition():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(1, 1, (7, 4)), rng.normal(0, 1, (9, 4))
+    for prior, turned in ((0.3, False), (3.0, True)):
+        layers = [rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=3), np.array([0.5])]
+
+        def parts(w, prior=prior):
+            f = lambda x: sum(np.tanh(sum(x[i] * w[0][i, j] for i in range(4)) + w[1][j]) * w[2][j] for j in range(3)) + w[3][0]
+            good = prior * np.mean([np.log1p(np.exp(-f(x))) for x in p])
+            return good, np.mean([np.log1p(np.exp(f(x))) for x in u]) - prior * np.mean([np.log1p(np.exp(f(x))) for x in p])
+
+        good, bad = parts(layers)
+        assert (bad < 0) == turned
+        value, grads = quality.risk(layers, p, u, prior)
+        assert abs(value - good - max(0, bad)) < 1e-9
+        for k, w in enumerate(layers):
+            for at in np.ndindex(w.shape):
+                change = []
+                for step in (1e-5, -1e-5):
+                    w[at] += step
+                    a, b = parts(layers)
+                    change.append(-b if turned else a + b)
+                    w[at] -= step
+                assert abs(grads[k][at] - (change[0] - change[1]) / 2e-5) < 1e-6
+
+
+def test_quality_means_cover_every_text(spark, docs):
+    """Whatever the sample, means and deviations are those of all texts of the learning folds."""
+    seen = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    x = quality.features(pa.array(seen)).astype(float)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for sample in (20, 12_000):
+        model = quality.learn(docs, labels, sample=sample)
+        assert np.allclose(model.mean, x.mean(0), atol=1e-4) and np.allclose(model.scale, x.std(0) + 1e-3, atol=2e-3)
 
 
 # substrings
