@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomspan.llm.common import materialize
+from loomspan.llm.common import materialize, scratch
 from loomspan.llm.words import Words, pieces
 
 PIECE, BLOCK, GRAM = 32, 16, 3
@@ -244,6 +244,7 @@ class Index:
         return found
 
 
+@scratch()
 def _stats(items: DataFrame, parts: int) -> list[Stats]:
     """Statistics of the whole benchmark, with the document frequencies of each part's terms."""
 

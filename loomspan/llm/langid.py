@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import fold, materialize
+from loomspan.llm.common import fold, materialize, scratch
 from loomspan.llm.words import CHUNK, mix, pieces, raw
 
 #: Hash buckets for n-grams; the model holds this many numbers for each language, and at most so many languages: those with
@@ -134,9 +134,10 @@ def learn(docs: DataFrame, folds: int = 3, held: int = 1) -> tuple[list[str], np
         yield from flush(sums)
 
     counts = seen.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
-    counts = materialize(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
-    most = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(LANGUAGES)
-    counts = counts.join(most, "lang").select("lang", "bucket", "n").toArrow()
+    with scratch():
+        counts = materialize(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+        most = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(LANGUAGES)
+        counts = counts.join(most, "lang").select("lang", "bucket", "n").toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()), key=lambda x: x.encode())
     at = {name: k for k, name in enumerate(langs)}
     table = np.zeros((len(langs), BUCKETS))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspan.llm.common import fresh, materialize, n_words, quoted
+from loomspan.llm.common import fresh, materialize, n_words, quoted, tidy
 
 BITS, LEVEL = 60, 12
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -76,27 +76,34 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         if state.where("rows > 1").isEmpty():
             break
     above = F.when(F.col("rest") * 2 >= F.col("words"), F.col("lo") + width).otherwise(F.col("lo"))
-    return materialize(state.select("source", "source_size", "target", "copies", above.alias("below")), "mix")
+    return state.select("source", "source_size", "target", "copies", above.alias("below"))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def _plan(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(sized, bounds): each row's doc_id, source, size and hash, and thresholds()."""
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(seed).alias("h")), "sizes")
     sizes = materialize(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
     return sized, thresholds(sized, targets(sizes, weights, share, most))
 
 
+@tidy
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """thresholds() of the sources of docs."""
+    return _plan(docs, weights, share, most, seed)[1]
+
+
 def _times() -> Column:
     return F.col("copies") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
 
 
+@tidy
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """docs: doc_id, source, text. A row for each input row: doc_id, source, size, source_size, target, copies, taken.
 
     A null text has size 0; a null source is a source of its own; rows that repeat entirely get the same copies, each
     of them counted. An empty table gives an empty result.
     """
-    sized, bounds = plan(docs, weights, share, most, seed)
+    sized, bounds = _plan(docs, weights, share, most, seed)
     both = sized.join(bounds.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     return both.select("doc_id", "source", "size", "source_size", "target", _times().alias("copies"), (F.col("size") * _times()).alias("taken"))
 
@@ -105,7 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     """The mix itself: all columns of docs, whatever their names, a row for each copy that is taken, numbered from 1 in
     mix_copy, which gets underscores where docs has such a column. Null and empty texts have size 0 and are taken as their
     source is; rows that repeat entirely are taken alike; an empty table gives an empty mix."""
-    _, bounds = plan(docs, weights, share, most, seed)
+    bounds = plan(docs, weights, share, most, seed)
     bound, copy = fresh("bound", docs.columns), fresh("mix_copy", docs.columns)
     own = bounds.select(F.struct("source", "copies", "below").alias(bound))
     times = F.col(f"{bound}.copies") + F.when(row_hash(seed) < F.col(f"{bound}.below"), 1).otherwise(0)

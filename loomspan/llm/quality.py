@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import fold, materialize, quoted
+from loomspan.llm.common import fold, materialize, quoted, scratch
 from loomspan.llm.words import Words, pieces
 
 #: Labelled rows, and texts of the corpus, that the network's steps go over, at most about twice and once this number; which
@@ -204,6 +204,7 @@ def _below(share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1
 
 
+@scratch()
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
     """Fits the model on the rows outside the held-out fold. A doc_id with several labels has the smallest one."""
     seen = docs.where("doc_id is not null").where(fold(F.col("doc_id"), folds) != held).select("doc_id", "text")

@@ -1,12 +1,12 @@
 """Repeated passages, by compressed FM-indexes of routed shards.
 
 A window is `window` words in a row. Every window has a smallest word GRAM by hash; windows in a row with the same one
-make a run, and equal windows always have the same gram, so that the gram routes them to one shard. A run that occurs
-twice as a whole is repeated; a run whose gram occurs nowhere else is not. What is left - runs that share a gram with
-different runs, at the edges of passages or of edits - is indexed: each shard builds FM-indexes of its distinct runs and
-streams them through backward search. A window whose matching statistic reaches the window's length is repeated. The
-words of runs are fetched only for these. A gram with very many different runs is routed by window instead: by the gram,
-its place in the window and the window's first words.
+make a run, and equal windows always have the same gram, so that the gram routes them to one shard. A gram that occurs once in
+the corpus, outside a run that has it twice, can't be in a repeated window: its run isn't sent. Each shard builds FM-indexes of
+its distinct runs, a run that stands in several places twice, and streams all of them through backward search: a window whose
+matching statistic reaches the window's length, in two places, is repeated. The words of runs are fetched only for these. The
+windows of a gram with very many different runs are routed one by one, by the grams at their ends too, each different one
+once or twice.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loomspan.llm.common import materialize
+from loomspan.llm.common import materialize, tidy
 from loomspan.llm.fmindex import FMIndex
 from loomspan.llm.words import _WORDS, Words, mix, pieces
 
@@ -80,40 +79,44 @@ def _occurrences(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted runs: (shard, gram, run, base, asked, words). docs has a text for each tid, or copies of it."""
-    lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("at", "n", "gram", "run", "asked", "hot")).alias("runs"))
+    """The words of the wanted runs, or of the windows of hot ones: (shard, gram, run, base, copies, hot, words). docs has a
+    text for each tid, or copies of it, of which a task takes one."""
+    lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("at", "n", "gram", "run", "copies", "hot")).alias("runs"))
     both = docs.select("tid", "text").join(lists, "tid")
-    fields = pa.schema([("shard", pa.int64()), ("gram", pa.int64()), ("run", pa.int64()), ("base", pa.int32()), ("asked", pa.bool_()), ("words", pa.binary())])
+    fields = pa.schema([("shard", pa.int64()), ("gram", pa.int64()), ("run", pa.int64()), ("base", pa.int32()), ("copies", pa.int32()), ("hot", pa.bool_()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in pieces(batches):
-            words = Words(b.column(0))
+            tids = b.column(0).to_pylist()
+            new = [k for k, t in enumerate(tids) if t not in seen and not seen.add(t)]
+            b = b.take(pa.array(new, pa.int64()))
+            words = Words(b.column(1))
             grams, _, first = words.grams(GRAM)
             rows = []
-            for k, runs in enumerate(b.column(1).to_pylist()):
+            for k, runs in enumerate(b.column(2).to_pylist()):
                 begin = int(words.first[k])
                 for r in runs:
                     a = begin + r["at"]
                     if not r["hot"]:
-                        rows.append((r["gram"], r["gram"], r["run"], 0, r["asked"], words.hash[a : a + r["n"] + window - 1].tobytes()))
+                        rows.append((r["gram"], r["gram"], r["run"], 0, r["copies"], False, words.hash[a : a + r["n"] + window - 1].tobytes()))
                         continue
-                    own = np.int64(r["gram"]).view(np.uint64)
                     for w in range(r["n"]):
-                        inside = grams[first[k] + r["at"] + w : first[k] + r["at"] + w + window - GRAM + 1]
-                        place = int(np.flatnonzero(inside == own)[0])
-                        shard = mix(np.array([own ^ inside[0]]) + np.uint64(place)).view(np.int64)[0]
-                        rows.append((int(shard), r["gram"], r["run"], w, r["asked"], words.hash[a + w : a + w + window].tobytes()))
+                        at = first[k] + r["at"] + w
+                        shard = mix(np.array([r["gram"]]).view(np.uint64) ^ mix(grams[at] ^ mix(grams[at + window - GRAM]))).view(np.int64)[0]
+                        rows.append((int(shard), r["gram"], r["run"], w, r["copies"], True, words.hash[a + w : a + w + window].tobytes()))
                 if len(rows) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-    return both.select("text", "runs").mapInArrow(run, "shard long, gram long, run long, base int, asked boolean, words binary")
+    return both.select("tid", "text", "runs").mapInArrow(run, "shard long, gram long, run long, base int, copies int, hot boolean, words binary")
 
 
 def repeated_windows(texts: list[np.ndarray], asked: list[bool], window: int) -> list[np.ndarray]:
-    """For each text of word hashes that is asked, its windows that occur more than once in all the texts together."""
+    """For each text of word hashes that is asked, its windows that occur more than once in all the texts together: every one
+    is streamed through the index of each INDEX words of texts."""
     counts = [np.zeros(max(0, len(t) - window + 1), np.int64) for t in texts]
     sizes = np.cumsum([len(t) + 1 for t in texts])
     cuts = [0, *(int(np.searchsorted(sizes, x, "right")) for x in range(INDEX, int(sizes[-1]), INDEX)), len(texts)]
@@ -152,7 +155,8 @@ def repeated_windows(texts: list[np.ndarray], asked: list[bool], window: int) ->
 
 
 def _search(shards: DataFrame, window: int) -> DataFrame:
-    """shards: rows of _fetch(), a shard's rows together, equal runs side by side. Repeated windows as (gram, run, a, b)."""
+    """shards: (shard, gram, run, base, copies, words), a shard's rows together, equal runs side by side. Repeated windows as
+    (gram, run, a, b)."""
     fields = pa.schema([("gram", pa.int64()), ("run", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +177,7 @@ def _search(shards: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
         for b in batches:
-            for s, gram, whole, base, asked, words in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            for s, gram, whole, base, copies, words in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if s != shard and size >= INDEX // 2:
                     yield from close()
                     held, size = [], 0
@@ -181,8 +185,11 @@ def _search(shards: DataFrame, window: int) -> DataFrame:
                 if (gram, whole, base) == last:  # a copy of the text gave the same run again
                     continue
                 last = (gram, whole, base)
-                held.append((gram, whole, base, np.frombuffer(words, np.uint64), asked))
-                size += len(words) // 8
+                own = np.frombuffer(words, np.uint64)
+                held.append((gram, whole, base, own, True))
+                if copies > 1:
+                    held.append((gram, whole, base, own, False))
+                size += copies * len(own)
         yield from close()
 
     return shards.mapInArrow(run, "gram long, run long, a int, b int")
@@ -224,12 +231,13 @@ def _cover(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     return both.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, text string")
 
 
+@tidy
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """docs: doc_id, text. A row for each input row: doc_id, n_words, n_removed, text (the words kept, a blank between).
 
     Words are runs of non-blanks, unchanged. A word goes if a window that covers it also starts anywhere else, in the same
     text or another; a row that repeats is another text. Null and empty texts have no words, and texts shorter than a
-    window lose none. Windows are compared by 64-bit hashes of their words.
+    window lose none. Windows are compared by 64-bit hashes of their words. An empty table gives an empty one.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"))
@@ -242,16 +250,25 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         seed += 2
     base = base.withColumn("tid", tid)
     occurring = _occurrences(base, window)
-    many = F.count(F.lit(1)).over(Window.partitionBy("gram"))
-    near = materialize(occurring.withColumn("many", many).where((F.col("many") > 1) | F.col("own")).drop("many"), "runs")
-    runs = near.groupBy("gram", "run", "n").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("tid", "at")).alias("where"), F.max("own").alias("own"))
-    of_gram = Window.partitionBy("gram")
-    runs = runs.withColumn("kinds", F.count(F.lit(1)).over(of_gram))
-    runs = materialize(runs.select("gram", "run", "n", "times", "kinds", "own", "where.tid", "where.at"), "kinds")
-    wanted = runs.where((F.col("kinds") > 1) | (F.col("times") == 1) & F.col("own")).withColumn("asked", F.col("times") == 1).withColumn("hot", F.col("kinds") > MANY)
-    shards = _fetch(base, wanted, window).repartition("shard").sortWithinPartitions("shard", "gram", "run", "base")
-    part = _search(shards, window)
-    whole = runs.where("times > 1").select("gram", "run", F.lit(0).alias("a"), F.col("n").alias("b"))
-    found = materialize(whole.unionAll(part), "repeats")
+    often = occurring.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.max("own").alias("twice")).where("many > 1 or twice")
+    near = materialize(occurring.join(often.select("gram"), "gram", "left_semi"), "runs")
+    runs = near.groupBy("gram", "run", "n").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("tid", "at")).alias("where"))
+    runs = materialize(runs.select("gram", "run", "n", "where.tid", "where.at", F.least("times", F.lit(2)).cast("int").alias("copies")), "kinds")
+    hot = materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MANY).select("gram", F.lit(True).alias("is_hot")), "hot")
+    wanted = runs.join(hot, "gram", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))
+    rows = _fetch(base, wanted, window)
+    split = hot.limit(1).count() > 0
+    rows = materialize(rows, "words") if split else rows
+    columns = ["shard", "gram", "run", "base", "copies", "words"]
+    cold = rows.where("not hot").select(*columns)
+    found = _search(cold.repartition("shard").sortWithinPartitions("shard", "gram", "run", "base"), window)
+    if split:
+        each = rows.where("hot").dropDuplicates(["gram", "run", "base"]).withColumn("same", F.xxhash64("words"))
+        kinds = each.groupBy("shard", "same", "words").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"))
+        kinds = kinds.select("shard", F.col("shard").alias("gram"), F.col("same").alias("run"), F.lit(0).alias("base"), "copies", "words")
+        many = _search(kinds.repartition("shard").sortWithinPartitions("shard", "gram", "run", "base"), window)
+        many = each.join(many.select(F.col("gram").alias("shard"), F.col("run").alias("same")), ["shard", "same"])
+        found = found.unionAll(many.select("gram", "run", F.col("base").alias("a"), (F.col("base") + 1).alias("b")))
+    found = materialize(found, "repeats")
     spans = near.join(found, ["gram", "run"]).select("tid", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     return _cover(base, spans, window)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from loomspan.llm.common import materialize, shared_dir
+from loomspan.llm.common import materialize, shared_path, tidy
 
 SPLIT = 16 << 20
 MANIFEST = "_manifest.json"
@@ -323,11 +323,12 @@ def read(spark: SparkSession, path: str, payload: str = "bytes") -> DataFrame:
     return spark.read.format("loomspan_warc").option("payload", payload).load(path)
 
 
+@tidy
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Writes the archives to the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type,
+    """Writes the archives to a folder in the shared one, which goes when they are read back: page_id, payload_bytes, payload_digest, record_type,
     refers_to, url. Of responses, length and digest are those of the payload as read; of revisits, as their headers say."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/loomspan/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write(pages, path, least)
     refers = F.regexp_extract("refers_to", rf"^{_PAGE}(-?\d+)$", 1)
     return read(spark, path, "digest").select(
