@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions import pyops, text
+from loomspan.functions import comments, pyops, text
 from loomspan.functions import scalars as sc
 from loomspan.operators import analytics, cache, conversation
 
@@ -17,7 +17,7 @@ BEFORE = [
 AFTER = [
     ("logs_folded", "log_folding", None, pyops.fold_logs_column),
     ("json_compressed", "json_compression", None, pyops.compress_json_column),
-    ("comments_stripped", "comment_stripping", None, pyops.strip_comments_column),
+    ("comments_stripped", "comment_stripping", None, comments.strip_comments_column),
     ("binary_replaced", "binary_data_detection", None, text.describe_binary),
     ("phrases_compacted", "phrase_compaction", None, text.compact_phrases),
     ("normalizations", "structural_normalization", None, text.normalize_structure),

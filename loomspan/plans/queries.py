@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions import pyops, text
+from loomspan.functions import code as code_functions
+from loomspan.functions import comments, pyops, text
 from loomspan.functions import scalars as sc
 from loomspan.operators import analytics, cache, conversation, topics
 
@@ -219,7 +220,7 @@ def json_compress(spark, sf_dir):
 @query
 def comment_strip(spark, sf_dir):
     c = F.concat(F.lit("```python\n# "), F.regexp_replace("text", r"\s+", " "), F.lit('\nvalue = compute(1)  # note\nname = "# kept"\n```'))
-    return _expanded(conversations(spark, sf_dir), pyops.strip_comments_column(c), "conv_id", "turn")
+    return _expanded(conversations(spark, sf_dir), comments.strip_comments_column(c), "conv_id", "turn")
 
 
 @query
@@ -245,7 +246,7 @@ def code_prune(spark, sf_dir):
 def code_outline(spark, sf_dir):
     code = F.concat(F.lit("class Order"), F.col("o_orderkey").cast("string"), F.lit(":\n    def total(self):\n        return 1\n\ndef load():\n    pass\n"))
     rows = table(spark, sf_dir, "orders").withColumn("code", code)
-    return rows.select("o_orderkey", pyops.outline_column("code").alias("outline"), pyops.file_key_column(F.lit("python"), "code", F.lit("see notes")).alias("file_key"))
+    return rows.select("o_orderkey", code_functions.outline_column("code").alias("outline"), code_functions.file_key(F.lit("python"), F.col("code"), F.lit("see notes")).alias("file_key"))
 
 
 @query

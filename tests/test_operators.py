@@ -1,6 +1,10 @@
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import code
 from loomspan.functions import scalars as sc
 from loomspan.functions import text
 from loomspan.operators import analytics, cache, conversation, topics
@@ -84,6 +88,73 @@ def test_code_pruning(spark):
     assert "unchanged" in got[1].content and "+    step_5 = save(5)" in got[2].content and "Functions: [handle]" in got[2].content
 
 
+def naive_prune(texts):
+    """The latest snapshot of each name, text after text."""
+    from difflib import SequenceMatcher, unified_diff
+
+    known, out = {}, []
+    for text in texts:
+        new, n = text, 0
+        for m in re.finditer(r"```([^\n`]*)\n([\s\S]*?)```", text or ""):
+            code, words = m[2], m[1].split()
+            if len(code.strip().splitlines()) < 5 or len(code.strip()) < 80:
+                continue
+            name = next((w for w in words[1:] if "." in w), None) or (x[1] if (x := re.search(r"# file: (\S+)", code)) else None)
+            if name is None and (x := re.findall(r"\b[\w.-]+\.[a-z]{1,8}\b", text[max(0, m.start() - 150) : m.start()])):
+                name = x[-1]
+            name = name or f"{words[0]}_{re.search(r'(?:def|class|function) (\w+)', code)[1]}"
+            alike = SequenceMatcher(None, known[name], code).ratio() if name in known else 0
+            notice = None
+            if alike >= 0.99:
+                notice = f"[Code Reference: `{name}` is unchanged from previous turn]"
+            else:
+                if alike >= 0.4:
+                    diff = "".join(list(unified_diff(known[name].splitlines(keepends=True), code.splitlines(keepends=True), n=1))[2:]).strip()
+                    names = sorted(re.findall(r"def (\w+)", code))
+                    about = f"AST Outline: Functions: [{', '.join(names)}]\n" if names else ""
+                    notice = f"[Code Update for `{name}` (Diff vs previous turn)]:\n{about}```diff\n{diff}\n```"
+                    notice = notice if len(notice) < len(m[0]) else None
+                known[name] = code
+            if notice:
+                new, n = new.replace(m[0], notice, 1), n + 1
+        out.append((new, n))
+    return out
+
+
+def test_code_pruning_against_the_definition(spark):
+    """Several names and blocks a message, edits of every size, names from every place."""
+    rng = np.random.default_rng(0)
+    bodies = {k: [f"    {k}_{j} = load({j})" for j in range(14)] for k in ("a", "b", "c")}
+    heads = {"a": "```python a.py\n", "b": "```python\n# file: b.py\n", "c": "```js\n"}
+    sessions = {s: [] for s in "xyz"}
+    for s in sessions:
+        for _ in range(12):
+            text = str(rng.choice(["look", "see old.txt and b.rb for", "nothing"])) + "\n"
+            for k in rng.choice(list(bodies), rng.integers(0, 4)):
+                for _ in range(int(rng.choice([0, 0, 1, 4, 13]))):
+                    bodies[k][rng.integers(0, 14)] = f"    {k}_{rng.integers(0, 99)} = save({rng.integers(0, 99)})"
+                text += f"{heads[k]}{'function' if k == 'c' else 'def'} f_{k}(x):\n" + "\n".join(bodies[k]) + "\n```\nthen " + str(rng.choice(["", "w.py "]))
+            sessions[s].append(text)
+        sessions[s] += [None, "no code", "```py\nshort\n```"]
+    rows = [(s, at, t, 5) for s, texts in sessions.items() for at, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "session string, at int, content string, k0 int").repartition(3)
+    got = {(r.session, r.at): (r.content, r.code_pruned) for r in conversation.prune_code(df, "session", ["at"]).collect()}
+    for s, texts in sessions.items():
+        assert [got[s, at] for at in range(len(texts))] == naive_prune(texts)
+    assert sum(n for _, n in got.values()) > 10 and any("Code Update" in (t or "") for t, _ in got.values())
+
+
+def test_file_key_precedence(spark):
+    cases = [
+        ("python a.py b.py", "# file: c.py\nx", "see d.py", "a.py"), ("python", "x\n# filename: c.py\n", "see d.py", "c.py"), ("js", "// c.js\nx", "see d.js", "c.js"),
+        ("", "x = 1", "see d.py and e.f.txt now", "e.f.txt"), ("python", "import x\n\ndef g(): pass\nclass H: pass", "", "python_g"), ("Go", "func Run() {", "", "go_Run"),
+        (None, "x", None, "code_snippet"), ("python end.", "class A", "", "python_A"), ("rust", "struct P;", "at the end.", "rust_P"),
+    ]
+    df = spark.createDataFrame(cases, "info string, code string, before string, want string")
+    for r in df.select("*", code.file_key(F.col("info"), F.col("code"), F.col("before")).alias("got")).collect():
+        assert r.got == r.want
+
+
 def test_notes(spark):
     note = "word " * 50
     rows = [("s", 1, f"a\n\n{note}"), ("s", 2, f"b\n\n{note}"), ("t", 3, note), ("s", 4, f"{note}\n\n{note}"), ("s", 5, None)]

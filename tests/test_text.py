@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.functions import pyops, text
+from loomspan.functions import comments, pyops, text
 
 
 def run(spark, op, *texts):
@@ -92,11 +92,50 @@ def test_json():
     ("css", "a { b: c; } /* gone, all of it, really */", ["gone"], ["b: c"]),
 ])
 def test_comments(lang, code, gone, kept):
-    out = pyops.strip_code(code, lang)
+    out = comments.strip_code(code, lang)
     assert not any(x in out for x in gone) and all(x in out for x in kept)
 
 
+@pytest.mark.parametrize(("before", "after"), [
+    ('def f(x):\n    """Adds one.\n\n    Longer.\n    """\n    return x', 'def f(x):\n    """Adds one."""\n    return x'),
+    ('def f(x):\n    """One line."""\n    return x', 'def f(x):\n    """One line."""\n    return x'),
+    ("class A(B):\n    '''\n    Said\n    more\n    '''\n    y = 1", "class A(B):\n    '''Said.'''\n    y = 1"),
+])
+def test_docstrings(before, after):
+    assert comments.strip_code(before, "py") == after
+
+
+@pytest.mark.parametrize(("before", "after"), [
+    ("/**\n * Adds two.\n * @param x one\n */\nint f;", "int f;"), ("/** one line */\nint f;", "/** one line */\nint f;"), ("/**\n * @return x\n */\nint f;", "int f;"),
+    ("int a; // x\nchar *b = \"// no\"; /* c */", 'int a;\nchar *b = "// no"; '),
+])
+def test_block_comments(before, after):
+    assert comments.strip_code(before, "java") == after.rstrip("\n")
+    assert comments.jsdocs("/**\n * " + "w" * 70 + "\n * @x\n */") == "/* " + "w" * 57 + "... */"
+
+
+@pytest.mark.parametrize(("before", "after"), [
+    ("# Heading\ntext", "# Heading\ntext"), ("# TODO later\ntext", "text"), ("def f(x):\n    return x  # one\n# two\n### three", "def f(x):\n    return x"),
+    ("SELECT a FROM t -- all\n-- none", "SELECT a FROM t"), ("a -- b", "a -- b"), ("x // gone\nsee https://a.b // kept", "x\nsee https://a.b // kept"), ("#!/bin/sh\n# noqa\n#include", "#!/bin/sh\n# noqa"),
+    ("a <!-- b --> c /* d */", "a  c"), ("    # Deep\nx", "x"),
+])
+def test_loose_comments(before, after):
+    assert comments.strip_loose(before) == after
+
+
+def test_traces_of_every_shape():
+    frame = lambda k: [f'  File "a{k}.py", line {k}, in f', f"    call({k})"]
+    head = "Traceback (most recent call last):"
+    few = [head, *frame(1), *frame(2), "KeyError: 1"]
+    assert pyops.fold_traces(few) == (few, 0)
+    many = [x for k in range(9) for x in frame(k)]
+    out, n = pyops.fold_traces(["a", head, *many, "KeyError: 1", "", *many, "b"])
+    assert n == 10 and out == ["a", head, *many[:4], "    [... 5 more frames ...]", *many[-4:], "KeyError: 1", "", *many, "b"]
+    node = [f"    at f{k} (a.js:{k}:1)" for k in range(6)] + ["  ... 12 more"]
+    assert pyops.fold_traces(["E", *node, "x"]) == (["E", *node[:2], "    [... 3 more frames ...]", *node[-2:], "x"], 3)
+
+
 def test_nulls_pass(spark):
-    for op in (text.dedup_sentences, text.strip_preamble, text.compact_phrases, text.normalize_structure, text.describe_binary, pyops.fold_logs_column, pyops.compress_json_column, pyops.strip_comments_column):
+    for op in (text.dedup_sentences, text.strip_preamble, text.compact_phrases, text.normalize_structure, text.describe_binary, pyops.fold_logs_column, pyops.compress_json_column, comments.strip_comments_column):
         got = run(spark, op, None, "")
         assert got[0].text is None and got[1].text == ""
