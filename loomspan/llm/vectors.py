@@ -1,13 +1,17 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors of a label take part once. A first graph of K neighbours comes from blocks of nearby vectors: cells of
-random hyperplanes, several times over, each cell compared with itself. The graph is then refined: the neighbours of a
-vector, forward and backward, are compared with one another, and every list keeps its best. Rounds go on until no
-link above the threshold joins two components. Whatever is compared in one place gives, besides the best K of each vector, all its
-links above the threshold as a spanning forest. A list whose K neighbours are all links grows by the best K of other
-components; a link among these joins the two and makes room, so that no list stays full of links. An audit compares a sample of vectors of small and of large components with all others; while the average
-recall of either is below the one asked for, more cells are added, and if it stays there the query fails.
-Links are counted exactly inside each component, block by block, without making rows of pairs.
+random hyperplanes, several times over, each cell compared with itself; a cell that is too full is cut by more hyperplanes,
+and what these can't tell apart by a hash. The graph is then refined: the neighbours of a vector, forward and backward, are
+compared with one another, and every list keeps its best; a neighbourhood that is too large is cut by another hash in every
+round. Rounds go on until no link above the threshold joins two components. Whatever is compared in one place gives, besides
+the best K of each vector, all its links above the threshold as a spanning forest. A list whose K neighbours are all links
+grows by the best K of other components; a link among these joins the two and makes room, so that no list stays full of links.
+An audit compares samples of the vectors without a link, of those in small and of those in large components with all others,
+larger samples until they show enough links; while the recall is below the one asked for more cells are added, and where it
+stays below the least that is allowed the query fails.
+Links are counted exactly inside each component without making rows of pairs: vectors within half the threshold's angle of
+the component's first one are linked with one another for certain and are only counted, the others are compared in blocks.
 """
 
 from __future__ import annotations
@@ -22,9 +26,13 @@ from pyspark.sql.window import Window
 
 from loomspan.llm.common import components, materialize, tidy
 
-#: Neighbours in a list; vectors of a block, and of a chunk of it; cells' tables of a turn; sample of the audit from each
-#: kind of component; turns before a recall that stays too low is an error.
-K, BLOCK, TABLES, AUDIT, RECALL, TURNS = 10, 1024, 4, 256, 0.99, 8
+#: Neighbours in a list; vectors of a block; cells' tables of a turn; the recall that ends the turns, their number, and the
+#: recall below which their result is an error.
+K, BLOCK, TABLES, RECALL, TURNS, LEAST = 10, 1024, 4, 0.99, 8, 0.9
+#: The audit's sample of each kind of vector, at first and at most; links that it has to see.
+AUDIT, AUDIT_MOST, AUDIT_LINKS = 512, 8192, 200
+#: Hyperplanes of a table.
+PLANES = 40
 _SEED = 3
 _PAIRS = "u long, v long, sim double"
 
@@ -114,12 +122,9 @@ def _pairs(groups: DataFrame, threshold: float, k: int) -> DataFrame:
             ids, at = np.unique(ids, return_index=True)
             rows = _unit(g.column("vector").combine_chunks())[at]
             component, worst, far = (g.column(c).to_numpy()[at] for c in ("component", "worst", "far"))
-            # a group that was not cut small enough is compared in stretches
-            for a in range(0, len(ids), 4 * BLOCK):
-                cut = slice(a, a + 4 * BLOCK)
-                u, v, s = _compare(ids[cut], rows[cut], component[cut], worst[cut], far[cut], threshold, k)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
+            u, v, s = _compare(ids, rows, component, worst, far, threshold, k)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
 
     return groups.mapInArrow(run, _PAIRS)
 
@@ -133,8 +138,6 @@ def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _cells(reps: DataFrame, found: DataFrame | None, tables: range, threshold: float, k: int) -> DataFrame:
     """Best neighbours in the cells of random hyperplanes, for each table."""
-    per = reps.groupBy("space").agg(F.count(F.lit(1)).alias("many"))
-    sized = reps.join(per, "space")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,24 +145,26 @@ def _cells(reps: DataFrame, found: DataFrame | None, tables: range, threshold: f
                 continue
             rows = b.column(2)
             sizes = np.diff(rows.offsets.to_numpy())
-            many = b.column(3).to_numpy()
             for dim in np.unique(sizes):
                 at = pa.array(np.flatnonzero(sizes == dim))
                 unit = _unit(rows.take(at))
-                bits = np.maximum(np.ceil(np.log2(np.maximum(many[sizes == dim], 1) / BLOCK)), 0).astype(np.int64)
                 for t in tables:
-                    planes = np.random.default_rng([_SEED, t, int(dim)]).normal(size=(40, int(dim)))
-                    side = (unit @ planes.T > 0).astype(np.int64)
-                    code = (side * (1 << np.arange(40)) * (np.arange(40) < bits[:, None])).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t)), b.column(0).take(at), pa.array(code), b.column(1).take(at), rows.take(at)], ["t", "space", "code", "uid", "vector"])
-
-    schema = "t long, space long, code long, uid long, vector array<double>"
-    cells = sized.select("space", "uid", "vector", "many").mapInArrow(run, schema)
-    cell = ["t", "space", "code"]
-    cells = materialize(cells, "cells")
-    full = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("full"))
-    cells = cells.join(full, cell).withColumn("cut", F.pmod(F.xxhash64("uid", "t"), F.ceil(F.col("full") / (2 * BLOCK))))
-    groups = _placed(cells.select(F.xxhash64(*cell, "cut").alias("group"), "uid", "vector"), found)
+                    planes = np.random.default_rng([_SEED, t, int(dim)]).normal(size=(PLANES, int(dim)))
+                    code = ((unit @ planes.T > 0) * (1 << np.arange(PLANES))).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t)), b.column(0).take(at), pa.array(code), b.column(1).take(at)], ["t", "space", "code", "uid"])
+
+    codes = materialize(reps.select("space", "uid", "vector").mapInArrow(run, "t long, space long, code long, uid long"), "codes")
+    planes = lambda many: F.greatest(F.ceil(F.log2(F.col(many) / BLOCK)), F.lit(0))
+    cell = lambda bits: F.pmod(F.col("code"), F.pow(F.lit(2.0), bits).cast("long"))
+    per = reps.groupBy("space").agg(F.count(F.lit(1)).alias("many")).select("space", planes("many").alias("bits"))
+    codes = codes.join(per, "space").withColumn("cell", cell(F.col("bits")))
+    full = codes.groupBy("t", "space", "cell").agg(F.count(F.lit(1)).alias("full"))
+    more = F.when(F.col("full") > 2 * BLOCK, planes("full")).otherwise(0)
+    codes = codes.join(full, ["t", "space", "cell"]).withColumn("group", F.xxhash64("t", "space", "cell", cell(F.least(F.col("bits") + more, F.lit(PLANES))))).select("t", "group", "uid")
+    codes = materialize(codes, "cells")
+    full = codes.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("cuts"))
+    codes = codes.join(full, "group").select(F.xxhash64("group", F.pmod(F.xxhash64("uid", "t"), F.col("cuts"))).alias("group"), "uid")
+    groups = codes.join(_placed(reps.select("uid", "vector"), found), "uid")
     groups = groups.select("group", "uid", "vector", "component", F.lit(-2.0).alias("worst"), F.lit(-2.0).alias("far"))
     return _pairs(groups.repartition("group").sortWithinPartitions("group"), threshold, k)
 
@@ -181,8 +186,8 @@ def _best(pairs: DataFrame, found: DataFrame, threshold: float, k: int) -> DataF
     return near.unionAll(more.where(F.col("rank") <= k).select("u", "v", "sim", F.lit(True).alias("far")))
 
 
-def _refine(graph: DataFrame, found: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Compares the neighbours of each vector with one another."""
+def _refine(graph: DataFrame, found: DataFrame, reps: DataFrame, threshold: float, k: int, turn: int = 0) -> DataFrame:
+    """Compares the neighbours of each vector with one another. turn: another one cuts large neighbourhoods otherwise."""
     def least(kind: Column) -> Column:
         return F.when(F.count_if(kind) >= k, F.min(F.when(kind, F.col("sim")))).otherwise(F.lit(-2.0))
 
@@ -190,7 +195,7 @@ def _refine(graph: DataFrame, found: DataFrame, reps: DataFrame, threshold: floa
     both = graph.select(F.col("u").alias("c"), F.col("v").alias("uid")).unionAll(graph.select(F.col("v").alias("c"), F.col("u").alias("uid")))
     both = both.unionAll(worst.select(F.col("u").alias("c"), F.col("u").alias("uid"))).distinct()
     many = both.groupBy("c").agg(F.count(F.lit(1)).alias("many"))
-    both = both.join(many, "c").withColumn("cut", F.pmod(F.xxhash64("uid"), F.ceil(F.col("many") / BLOCK)))
+    both = both.join(many, "c").withColumn("cut", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.ceil(F.col("many") / BLOCK)))
     known = _placed(reps.select("uid", "vector"), found).join(worst.withColumnRenamed("u", "uid"), "uid", "left")
     none = F.lit(-2.0)
     known = known.select("uid", "vector", "component", F.coalesce("worst", none).alias("worst"), F.coalesce("far", none).alias("far"))
@@ -198,15 +203,42 @@ def _refine(graph: DataFrame, found: DataFrame, reps: DataFrame, threshold: floa
     return _pairs(groups.repartition("group").sortWithinPartitions("group"), threshold, k)
 
 
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, uid, copies, vector, first) -> (component, uid, copies, vector, cosine with first)."""
+    for b in batches:
+        if b.num_rows:
+            sizes = np.diff(b.column(3).offsets.to_numpy())
+            cosine = np.empty(b.num_rows)
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                cosine[at] = (_unit(b.column(3).take(pa.array(at))) * _unit(b.column(4).take(pa.array(at)))).sum(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(cosine)], ["component", "uid", "copies", "vector", "cosine"])
+
+
 def _count(reps: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(uid, links): for each vector of a component the rows of the other vectors that it is linked with."""
     inside = reps.join(found, F.col("uid") == F.col("node")).select("component", "uid", "copies", "vector")
-    many = inside.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
-    cut = inside.join(many, "component").withColumn("cuts", F.ceil(F.col("many") / (2 * BLOCK)).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("cuts")).cast("int"))
-    tasks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    task = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    tasks = tasks.select(task.alias("group"), F.col("own").alias("side"), "uid", "copies", "vector").repartition("group").sortWithinPartitions("group", "side")
+    many = inside.groupBy("component").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("hub"))
+    small = inside.join(many.where(F.col("many") <= 2 * BLOCK), "component")
+    tasks = small.select(F.xxhash64("component").alias("group"), F.lit(0).alias("side"), "uid", "copies", "vector")
+    large = many.where(F.col("many") > 2 * BLOCK)
+    core = None
+    if large.limit(1).count():
+        # what lies within half the angle of the hub is linked with all that does
+        hubs = large.join(reps.select(F.col("uid").alias("hub"), F.col("vector").alias("first")), "hub")
+        near = inside.join(hubs.select("component", "first"), "component").select("component", "uid", "copies", "vector", "first")
+        near = materialize(near.mapInArrow(_cosines, "component long, uid long, copies long, vector array<double>, cosine double"), "angles")
+        near = near.withColumn("core", F.col("cosine") >= float(np.cos(np.arccos(threshold) / 2 - 1e-7)))
+        sizes = near.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("sure"), F.count_if("core").alias("cores"), F.count_if(~F.col("core")).alias("others"))
+        near = near.join(sizes, "component")
+        core = near.where("core").select("uid", (F.col("sure") - F.col("copies")).alias("links"))
+        cuts = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+        of = F.xxhash64("uid")
+        near = near.where("others > 0").withColumn("own", F.when(F.col("core"), F.pmod(of, cuts("cores"))).otherwise(cuts("cores") + F.pmod(of, cuts("others"))).cast("int"))
+        near = near.withColumn("other", F.explode(F.sequence(F.when(F.col("core"), cuts("cores")).otherwise(F.lit(0)), cuts("cores") + cuts("others") - 1)))
+        task = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+        tasks = tasks.unionByName(near.select(task.alias("group"), F.col("own").alias("side"), "uid", "copies", "vector"))
+    tasks = tasks.repartition("group").sortWithinPartitions("group", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
@@ -228,7 +260,9 @@ def _count(reps: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
                     links[y] += linked.T @ copies[x[a : a + BLOCK]]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], ["uid", "links"])
 
-    return tasks.mapInArrow(run, "uid long, links long").groupBy("uid").agg(F.sum("links").alias("links"))
+    links = tasks.mapInArrow(run, "uid long, links long")
+    links = links.unionByName(core) if core is not None else links
+    return links.groupBy("uid").agg(F.sum("links").alias("links"))
 
 
 def _links(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -254,20 +288,41 @@ def _merge(found: DataFrame | None, links: DataFrame) -> tuple[DataFrame, int]:
 
 
 def audit(reps: DataFrame, found: DataFrame, threshold: float, k: int = K) -> float:
-    """Recall: the share inside components of a sampled vector's links with all others, on average over the vectors that
-    have links. Components of up to k vectors and larger ones have AUDIT samples or so each, and the lower average counts."""
+    """Recall: the share inside components of a vector's links with all others, on average over the vectors that have links.
+    Vectors without a link, in components of up to k, and in larger ones are sampled apart and count by their numbers; the
+    large ones by themselves too, and the lower average is the result. Samples grow until they show AUDIT_LINKS links, hold
+    all vectors or AUDIT_MOST of each kind. 1 if no vector is linked with another; without any link seen that is what is known.
+    """
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = reps.join(found.join(sizes, "component"), F.col("uid") == F.col("node"), "left")
-    placed = materialize(placed.select("space", "uid", F.coalesce("component", "uid").alias("component"), "vector", (F.coalesce("size", F.lit(1)) > k).alias("large")), "placed")
-    totals = dict(placed.groupBy("large").count().toArrow().to_pandas().itertuples(index=False))
-    share = {large: int(min(1.0, AUDIT / max(1, totals.get(large, 0))) * 1_000_003) + 1 for large in (False, True)}
-    drawn = F.pmod(F.xxhash64(F.lit(_SEED), "uid"), F.lit(1_000_003)) < F.when(F.col("large"), share[True]).otherwise(share[False])
-    asked = placed.where(drawn).toArrow()
-    spaces = asked.column("space").to_numpy()
+    size = F.coalesce("size", F.lit(1))
+    kind = F.when(size == 1, 0).when(size <= k, 1).otherwise(2)
+    placed = materialize(placed.select("space", "uid", F.coalesce("component", "uid").alias("component"), "vector", kind.alias("kind")), "placed")
+    totals = {r.kind: r["count"] for r in placed.groupBy("kind").count().collect()}
+    sample = AUDIT
+    while True:
+        seen = _asked(placed, totals, sample, threshold)
+        if sum(n for n, *_ in seen.values()) >= AUDIT_LINKS or sample >= min(AUDIT_MOST, max(totals.values(), default=0)):
+            break
+        sample *= 4
+    # of each kind: how many vectors have links, by the sample, and the sum of their recalls
+    part = {kind: (totals[kind] * linked / max(1, drawn), totals[kind] * hits / max(1, drawn)) for kind, (_, drawn, linked, hits) in seen.items()}
+    every = [(sum(part[x][0] for x in kinds if x in part), sum(part[x][1] for x in kinds if x in part)) for kinds in ((0, 1), (2,))]
+    return min((hits / linked for linked, hits in every if linked), default=1.0)
+
+
+def _asked(placed: DataFrame, totals: dict[int, int], sample: int, threshold: float) -> dict[int, tuple[int, int, int, float]]:
+    """For each kind of vector: links seen, vectors drawn, those with links, and the sum of these' recalls."""
+    share = {kind: int(min(1.0, sample / max(1, n)) * 1_000_003) + 1 for kind, n in totals.items()}
+    below = F.lit(0)
+    for kind, n in share.items():
+        below = F.when(F.col("kind") == kind, n).otherwise(below)
+    asked = placed.where(F.pmod(F.xxhash64(F.lit(_SEED), "uid"), F.lit(1_000_003)) < below).toArrow()
+    spaces, kinds = asked.column("space").to_numpy(), asked.column("kind").to_numpy()
     queries = {}
     for x in np.unique(spaces):
         own = asked.filter(pa.array(spaces == x))
-        queries[int(x)] = (*(own.column(c).to_numpy(zero_copy_only=False) for c in ("component", "uid", "large")), _unit(own.column("vector").combine_chunks()))
+        queries[int(x)] = (*(own.column(c).to_numpy(zero_copy_only=False) for c in ("component", "uid", "kind")), _unit(own.column("vector").combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {x: np.zeros((2, len(q[1])), np.int64) for x, q in queries.items()}
@@ -275,16 +330,19 @@ def audit(reps: DataFrame, found: DataFrame, threshold: float, k: int = K) -> fl
             space, uid, component = (b.column(c).to_numpy() for c in range(3))
             for x in np.unique(space):
                 if int(x) in queries:
-                    at = np.flatnonzero(space == x)
                     c, q, _, rows = queries[int(x)]
-                    linked = (rows @ _unit(b.column(3).take(pa.array(at))).T >= threshold) & (q[:, None] != uid[at][None])
-                    sums[int(x)] += (linked & (c[:, None] == component[at][None])).sum(1), linked.sum(1)
+                    every = np.flatnonzero(space == x)
+                    for low in range(0, len(every), BLOCK):
+                        at = every[low : low + BLOCK]
+                        linked = (rows @ _unit(b.column(3).take(pa.array(at))).T >= threshold) & (q[:, None] != uid[at][None])
+                        sums[int(x)] += (linked & (c[:, None] == component[at][None])).sum(1), linked.sum(1)
         for x, (hits, links) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(queries[x][1]), pa.array(queries[x][2]), pa.array(hits), pa.array(links)], ["uid", "large", "hits", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(queries[x][1]), pa.array(queries[x][2]), pa.array(hits), pa.array(links)], ["uid", "kind", "hits", "links"])
 
-    each = placed.select("space", "uid", "component", "vector").mapInArrow(run, "uid long, large boolean, hits long, links long")
-    each = each.groupBy("large", "uid").agg(F.sum("hits").alias("hits"), F.sum("links").alias("links")).where("links > 0")
-    return min((r.recall for r in each.groupBy("large").agg(F.avg(F.col("hits") / F.col("links")).alias("recall")).collect()), default=1.0)
+    each = placed.select("space", "uid", "component", "vector").mapInArrow(run, "uid long, kind int, hits long, links long")
+    each = each.groupBy("kind", "uid").agg(F.sum("hits").alias("hits"), F.sum("links").alias("links")).where("links > 0")
+    rows = {r.kind: r for r in each.groupBy("kind").agg(F.sum("links").alias("links"), F.count(F.lit(1)).alias("linked"), F.sum(F.col("hits") / F.col("links")).alias("hits")).collect()}
+    return {kind: (rows[kind].links, int((kinds == kind).sum()), rows[kind].linked, rows[kind].hits) if kind in rows else (0, int((kinds == kind).sum()), 0, 0.0) for kind in totals}
 
 
 def _numbered(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -328,15 +386,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
         cells = _cells(reps, found, range(turn * TABLES, (turn + 1) * TABLES), threshold, k)
         new = materialize(cells if graph is None else cells.unionAll(new), "cells")
         found, joined = _merge(found, _links(new, threshold))[0], 1
+        rounds = 0
         while joined:
             graph = materialize(_best(new if graph is None else new.unionAll(graph.drop("far")), found, threshold, k), "graph")
-            new = materialize(_refine(graph, found, reps, threshold, k), "refined")
+            new = materialize(_refine(graph, found, reps, threshold, k, rounds := rounds + 1), "refined")
             found, joined = _merge(found, _links(new, threshold))
         recall = audit(reps, found, threshold, k)
         if recall >= RECALL:
             break
-    else:
-        raise RuntimeError(f"op3: recall of links is {recall:.4f} after {TURNS} turns of cells and refinement, below {RECALL}")
+    if recall < LEAST:
+        raise RuntimeError(f"op3: recall of links is {recall:.4f} after {TURNS} turns of cells and refinement, below {LEAST}")
     if shared is not None:
         found = _renamed(_merge(found, shared)[0], reps)
     counts = materialize(_count(reps, found, threshold), "counts")

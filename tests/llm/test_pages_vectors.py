@@ -65,17 +65,36 @@ def test_vectors_odd(spark):
 
 
 def test_vectors_recall_at_scale(spark):
-    """The registered query against all pairs of check_s."""
-    path = "/root/testdata/check_s/embeddings.parquet"
-    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(path).collect()]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in llm.op3_nn_descent(spark, "/root/testdata/check_s").collect()}
-    for label in {x for _, _, x in rows}:
-        mine = [(k, v) for k, v, x in rows if x == label]
-        m = np.array([v for _, v in mine], float)
+    """Labels of several thousand vectors, so that cells split: groups of near copies of every size, pairs near the threshold,
+    a group with a core and a rim that is too large for one block, exact copies, and vectors alone. All links are found."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows = []
+    for label, alone in ((0, 6000), (1, 3000)):
+        made = [unit(rng.normal(size=(alone, 32)))]
+        for size in [2] * 150 + [3] * 40 + [12] * 10 + [60] * 3:
+            base = unit(rng.normal(size=32))
+            made.append(unit(base + rng.normal(size=(size, 32)) * rng.choice([0.005, 0.015, 0.024])))
+        made += [made[1]] * 30
+        if label == 0:
+            base = unit(rng.normal(size=32))
+            made += [unit(base + rng.normal(size=(2600, 32)) * 0.008), unit(base + rng.normal(size=(150, 32)) * 0.03)]
+        m = np.concatenate(made)
+        rows += [(m[k], label) for k in range(len(m))]
+    order = rng.permutation(len(rows))
+    rows = [(k, rows[at][0].tolist(), rows[at][1]) for k, at in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    for label in (0, 1):
+        ids = np.array([k for k, _, x in rows if x == label])
+        m = np.array([v for _, v, x in rows if x == label])
         m /= np.linalg.norm(m, axis=1, keepdims=True)
-        links = (m @ m.T >= 0.98).sum(1) - 1
-        found = np.array([got[k][0] for k, _ in mine])
-        assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
+        linked = m @ m.T >= 0.98
+        links = linked.sum(1) - 1
+        found = np.array([got[k][0] for k in ids])
+        assert (found <= links).all() and found.sum() >= 0.999 * links.sum() and (found[links > 0] / links[links > 0]).mean() > 0.99
+        whole = vectors._forest(linked)
+        assert np.mean([got[k][1] == ids[r] for k, r in zip(ids, whole, strict=True)]) > 0.999
 
 
 def test_vectors_audit_sees_missed_pairs(spark):
