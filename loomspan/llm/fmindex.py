@@ -100,3 +100,36 @@ class FMIndex:
             both = self.rank(np.r_[symbol, symbol], np.r_[low, high])
             low, high = self.starts[symbol] + both[: len(symbol)], self.starts[symbol] + both[len(symbol) :]
         return out
+
+    def covered(self, text: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, least: np.ndarray) -> np.ndarray:
+        """For each position of text, whether the window that starts there lies in one of the runs text[first:last] and occurs
+        as often as the run asks for. All runs are searched at once: each from its end backward, as long as what was read
+        occurs often enough; that gives a maximal match and all windows in it, and the search goes on at the last end of a
+        window that begins before the match or, if the match was shorter than a window, one position before."""
+        edge = np.zeros(len(text) + 1, np.int64)
+        alive = last - first >= window
+        first, end, least = first[alive], last[alive].copy(), least[alive]
+        at = end.copy()
+        low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        while len(at):
+            symbol = text[at - 1]
+            new = at == end
+            a, b = self.starts[symbol], self.starts[symbol + 1]
+            old = np.flatnonzero(~new)
+            if len(old):
+                s = symbol[old]
+                both = self.rank(np.r_[s, s], np.r_[low[old], high[old]])
+                a[old], b[old] = self.starts[s] + both[: len(s)], self.starts[s] + both[len(s) :]
+            low, high = a, b
+            good = high - low >= least
+            at = at - good
+            whole = good & (at == first)
+            stop = whole | ~good
+            found = stop & (end - at >= window)
+            np.add.at(edge, at[found], 1)
+            np.add.at(edge, end[found] - window + 1, -1)
+            end = np.where(~stop, end, np.where(found, at + window - 1, end - 1))
+            at = np.where(stop, end, at)
+            alive = ~whole & (end - first >= window)
+            first, end, at, low, high, least = (x[alive] for x in (first, end, at, low, high, least))
+        return np.cumsum(edge)[:-1] > 0

@@ -3,8 +3,8 @@
 A window is `window` words in a row. Every window has a smallest word GRAM by hash; windows in a row with the same one
 make a run, and equal windows always have the same gram, so that the gram routes them to one shard. A gram that occurs once in
 the corpus, outside a run that has it twice, can't be in a repeated window: its run isn't sent. Each shard builds FM-indexes of
-its distinct runs, a run that stands in several places twice, and streams all of them through backward search: a window whose
-matching statistic reaches the window's length, in two places, is repeated. The words of runs are fetched only for these. The
+its distinct runs and streams all of them through backward search: a window that a maximal match covers is repeated, where the
+match is to occur twice or, for a run that stands in several places, once. The words of runs are fetched only for these. The
 windows of a gram with very many different runs are routed one by one, by the grams at their ends too, each different one
 once or twice.
 """
@@ -114,44 +114,40 @@ def _fetch(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return both.select("tid", "text", "runs").mapInArrow(run, "shard long, gram long, run long, base int, copies int, hot boolean, words binary")
 
 
-def repeated_windows(texts: list[np.ndarray], asked: list[bool], window: int) -> list[np.ndarray]:
-    """For each text of word hashes that is asked, its windows that occur more than once in all the texts together: every one
-    is streamed through the index of each INDEX words of texts."""
-    counts = [np.zeros(max(0, len(t) - window + 1), np.int64) for t in texts]
+def repeated_windows(texts: list[np.ndarray], copies: list[int], window: int) -> list[np.ndarray]:
+    """For each text of word hashes the windows that occur more than once in all the texts, of which each stands in so many
+    places (2: or more): all are streamed through the index, or through an index for each INDEX words of texts."""
     sizes = np.cumsum([len(t) + 1 for t in texts])
-    cuts = [0, *(int(np.searchsorted(sizes, x, "right")) for x in range(INDEX, int(sizes[-1]), INDEX)), len(texts)]
-    cuts = sorted(set(cuts))
+    cuts = sorted({0, *(int(np.searchsorted(sizes, x, "right")) for x in range(INDEX, int(sizes[-1]), INDEX)), len(texts)})
     flat = np.concatenate(texts)
     first = np.r_[0, np.cumsum([len(t) for t in texts])]
-    queries = [k for k, yes in enumerate(asked) if yes and len(texts[k]) >= window]
-    if not queries:
-        return [np.empty(0, np.int64) for _ in texts]
-    ends = np.concatenate([np.arange(first[k] + window, first[k + 1] + 1) for k in queries])
-    several = len(cuts) > 2
-    total = np.zeros(len(ends), np.int64)
-    for a, b in zip(cuts, cuts[1:], strict=False):
+    times = np.array(copies)
+
+    def index_of(a: int, b: int) -> tuple[FMIndex, np.ndarray]:
         vocabulary, number = np.unique(flat[first[a] : first[b]], return_inverse=True)
-        index = FMIndex([number[first[k] - first[a] : first[k + 1] - first[a]] + 1 for k in range(a, b)])
-        if not several:
-            text = np.concatenate([number + 1])
-            total = np.where(index.statistics(text, ends, window) >= window, 2, 0)
-        else:
-            at = np.searchsorted(vocabulary, flat)
-            at[at == len(vocabulary)] = 0
-            # a word that isn't in this index gets a symbol that occurs nowhere
-            index.starts = np.r_[index.starts, index.starts[-1]]
-            text = np.where(vocabulary[at] == flat, at + 1, len(vocabulary) + 1)
-            known = np.cumsum(np.r_[0, text > len(vocabulary)])
-            inside = known[ends] == known[ends - window]
-            once = index.statistics(text, ends[inside], window, 1) >= window
-            twice = index.statistics(text, ends[inside], window, 2) >= window
-            total[inside] += once.astype(np.int64) + twice
-    out, at = [np.empty(0, np.int64) for _ in texts], 0
-    for k in queries:
-        n = len(counts[k])
-        out[k] = np.flatnonzero(total[at : at + n] >= 2)
-        at += n
-    return out
+        return FMIndex([number[first[k] - first[a] : first[k + 1] - first[a]] + 1 for k in range(a, b)]), vocabulary
+
+    if len(cuts) == 2:
+        index, vocabulary = index_of(0, len(texts))
+        hit = index.covered(np.searchsorted(vocabulary, flat) + 1, first[:-1], first[1:], window, np.maximum(1, 3 - times))
+        return [np.flatnonzero(hit[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    ends = np.concatenate([np.arange(a + window, b + 1) for a, b in zip(first[:-1], first[1:], strict=True)])
+    owner = np.repeat(np.arange(len(texts)), np.maximum(np.diff(first) - window + 1, 0))
+    total = times[owner] - 1
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        index, vocabulary = index_of(a, b)
+        at = np.searchsorted(vocabulary, flat)
+        at[at == len(vocabulary)] = 0
+        # a word that isn't in this index gets a symbol that occurs nowhere
+        index.starts = np.r_[index.starts, index.starts[-1]]
+        text = np.where(vocabulary[at] == flat, at + 1, len(vocabulary) + 1)
+        known = np.cumsum(np.r_[0, text > len(vocabulary)])
+        inside = known[ends] == known[ends - window]
+        once = index.statistics(text, ends[inside], window, 1) >= window
+        twice = index.statistics(text, ends[inside], window, 2) >= window
+        total[inside] += once.astype(np.int64) + twice
+    again = np.split(total >= 2, np.cumsum(np.maximum(np.diff(first) - window + 1, 0))[:-1])
+    return [np.flatnonzero(x) for x in again]
 
 
 def _search(shards: DataFrame, window: int) -> DataFrame:
@@ -185,11 +181,8 @@ def _search(shards: DataFrame, window: int) -> DataFrame:
                 if (gram, whole, base) == last:  # a copy of the text gave the same run again
                     continue
                 last = (gram, whole, base)
-                own = np.frombuffer(words, np.uint64)
-                held.append((gram, whole, base, own, True))
-                if copies > 1:
-                    held.append((gram, whole, base, own, False))
-                size += copies * len(own)
+                held.append((gram, whole, base, np.frombuffer(words, np.uint64), copies))
+                size += len(words) // 8
         yield from close()
 
     return shards.mapInArrow(run, "gram long, run long, a int, b int")

@@ -319,6 +319,24 @@ def test_fm_index():
     assert index.statistics(flat, ends, 12).tolist() == want
 
 
+def test_windows_through_the_index(monkeypatch):
+    """Maximal matches against counting, with runs that stand in several places, in one index and in several."""
+    rng = np.random.default_rng(12)
+    for turn in range(60):
+        texts = [rng.integers(0, 3, rng.integers(1, 30)).astype(np.uint64) for _ in range(12)]
+        texts += [t[rng.integers(0, len(t)) :] for t in texts[:6]]
+        texts = [np.frombuffer(x, np.uint64) for x in dict.fromkeys(t.tobytes() for t in texts) if x]
+        copies = rng.integers(1, 3, len(texts)).tolist()
+        count = Counter()
+        for t, c in zip(texts, copies, strict=True):
+            count.update({tuple(t[i : i + 6]): 0 for i in range(len(t) - 5)})
+            for i in range(len(t) - 5):
+                count[tuple(t[i : i + 6])] += c
+        want = [[i for i in range(len(t) - 5) if count[tuple(t[i : i + 6])] > 1] for t in texts]
+        monkeypatch.setattr(substrings, "INDEX", 1 << 19 if turn % 2 else 40)
+        assert [x.tolist() for x in substrings.repeated_windows(texts, copies, 6)] == want
+
+
 # n-gram Jaccard join
 
 def shingles(t, n=4):
