@@ -31,15 +31,15 @@ def counted(text: Column, n: Column) -> Column:
     return F.struct(text.alias("text"), n.cast("long").alias("n"))
 
 
-def replace_matches(text: Column, pattern: str, new: Callable[[Column, Column, Column], Column]) -> Column:
-    """The text with each match replaced by new(match, position from 0, number of matches)."""
+def replace_matches(text: Column, pattern: str, new: Callable[[Column, Column, Column], Column], sure: bool = False) -> Column:
+    """The text with each match replaced by new(match, position from 0, number of matches). sure: there is a match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def join(m: Column) -> Column:
         after = F.concat(F.transform(m, lambda x, i: new(x, i, F.size(m))), F.array(F.lit("")))
         return F.array_join(F.zip_with(F.split(text, pattern, -1), after, lambda a, b: F.concat(a, b)), "")
 
-    return F.when(text.rlike(pattern), let(found, join)).otherwise(text)
+    return let(found, join) if sure else F.when(text.rlike(pattern), let(found, join)).otherwise(text)
 
 
 def map_prose(text: Column, op: Callable[[Column], Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -89,27 +90,46 @@ HEX_LINE = r"(?dm)^[ \t]*(?:0x)?[0-9a-fA-F]{2}(?:[ \t]+(?:0x)?[0-9a-fA-F]{2}){7,
 
 
 def _numbered(state: Column, pattern: str, kind: str, by: str, keep: bool = False) -> Column:
-    """state with the matches of a pattern replaced; `by` names the counter. The last match has the lowest number."""
-    base = state[by]
+    """state with the matches of a pattern replaced; `by` names the counter. The last match has the lowest number. A text
+    without a match is scanned once."""
+    base, fields = state[by], ("secrets", "emails", "phones")
 
     def one(m: Column, i: Column, n: Column) -> Column:
         tag = F.concat(F.lit(f"[REDACTED_{kind}_"), (base + n - i).cast("string"), F.lit("]"))
         return F.concat(F.regexp_extract(m, pattern, 1), tag, F.regexp_extract(m, pattern, 3)) if keep else tag
 
-    n = F.regexp_count(state["text"], F.lit(pattern)).cast("long")
-    new = {c: state[c] for c in ("secrets", "emails", "phones")} | {by: base + n}
-    return F.struct(replace_matches(state["text"], pattern, one).alias("text"), *(v.alias(k) for k, v in new.items()))
+    def changed(n: Column) -> Column:
+        return F.struct(replace_matches(state["text"], pattern, one, sure=True).alias("text"), *((base + n if c == by else state[c]).alias(c) for c in fields))
 
+    return let(F.regexp_count(state["text"], F.lit(pattern)).cast("long"), lambda n: F.when(n > 0, changed(n)).otherwise(state))
 
-def redact(text: Column) -> Column:
-    """struct<text, secrets, emails, phones>: secrets, mail addresses and phone numbers behind numbered placeholders."""
+
+#: (pattern, kind of placeholder, counter, whether the key before a secret stays), in this order.
+GUARDS = [*((p, "SECRET", "secrets", False) for p in SECRETS), (KEY_VALUE, "SECRET", "secrets", True), (EMAIL, "EMAIL", "emails", False), (PHONE, "PHONE", "phones", False)]
+#: Digits, an @ or a key word with enough behind it: nothing else can match.
+GUARDED = r"\d{3}|@|[A-Za-z0-9_.~+/-]{16}"
+
+
+def _guard(text: Column, step: Callable[..., Column]) -> Column:
     zero = F.lit(0).cast("long")
-    steps = [*((p, "SECRET", "secrets", False) for p in SECRETS), (KEY_VALUE, "SECRET", "secrets", True), (EMAIL, "EMAIL", "emails", False), (PHONE, "PHONE", "phones", False)]
     state = F.struct(text.alias("text"), zero.alias("secrets"), zero.alias("emails"), zero.alias("phones"))
-    # digits, an @ or a key word with enough behind it: nothing else can match
-    step = lambda p, kind, by, keep: lambda s: _numbered(s, p, kind, by, keep)
-    done = reduce(lambda s, x: let(s, step(*x)), steps, state)
-    return F.when(text.rlike(r"\d{3}|@|[A-Za-z0-9_.~+/-]{16}"), done).otherwise(state)
+    done = reduce(lambda s, x: let(s, lambda t: step(t, *x)), GUARDS, state)
+    return F.when(text.rlike(GUARDED), done).otherwise(state)
+
+
+def redact(text: Column) -> Column:
+    """struct<text, secrets, emails, phones>: secrets, mail addresses and phone numbers behind numbered placeholders."""
+    return _guard(text, _numbered)
+
+
+def redact_counts(text: Column) -> Column:
+    """The same without the text that redact() makes: the placeholders aren't numbered and no list of matches is built."""
+    def step(state: Column, pattern: str, kind: str, by: str, keep: bool) -> Column:
+        tag = f"$1[REDACTED_{kind}_1]$3" if keep else f"[REDACTED_{kind}_1]"
+        new = lambda n: F.struct(F.regexp_replace(state["text"], pattern, tag).alias("text"), *((state[c] + n if c == by else state[c]).alias(c) for c in ("secrets", "emails", "phones")))
+        return let(F.regexp_count(state["text"], F.lit(pattern)).cast("long"), lambda n: F.when(n > 0, new(n)).otherwise(state))
+
+    return _guard(text, step)
 
 
 def redact_parts(parts: Column) -> Column:
@@ -125,19 +145,28 @@ def redact_parts(parts: Column) -> Column:
 
 
 def dedup_sentences(text: Column) -> Column:
-    """Later copies of a sentence of 20 characters or more go; the first says how many there were."""
+    """Later copies of a sentence of 20 characters or more go; the first says how many there were. Copies are found by sorting,
+    so that the work grows with the sentences and not with their pairs."""
     def segment(part: Column) -> Column:
         sentences = F.split(part, r"(?U)(?<=[.!?])\s+|\n", -1)
-        keyed = F.transform(sentences, lambda s: F.when(F.length(strip(s)) >= 20, collapse(F.lower(s))))
+        # a sentence that is too short is like no other
+        row = lambda s, i: F.struct(F.when(F.length(strip(s)) >= 20, collapse(F.lower(s))).otherwise(F.concat(F.lit("\0"), i.cast("string"))).alias("key"), i.alias("at"), s.alias("s"))
+
         def fold(rows: Column) -> Column:
-            first = lambda x, i: x["key"].isNull() | (F.array_position(rows["key"], x["key"]) == i + 1)
-            kept = F.filter(rows, first)
-            times = lambda x: F.size(F.filter(rows["key"], lambda k: k == x["key"]))
-            said = lambda x: F.when(x["key"].isNotNull() & (times(x) > 1), F.concat(F.regexp_replace(x["s"], r"(?U)\s+$", ""), F.lit(" [x"), times(x).cast("string"), F.lit("]"))).otherwise(x["s"])
-            removed = F.size(rows) - F.size(kept)
-            return F.when(removed > 0, counted(F.array_join(F.transform(kept, said), "\n"), removed)).otherwise(counted(part, F.lit(0)))
-
-        return let(F.zip_with(sentences, keyed, lambda s, k: F.struct(s.alias("s"), k.alias("key"))), fold)
+            n = F.size(rows)
+            heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(rows, i)["key"] != F.get(rows, i - 1)["key"]))
+
+            def said(first: Column, times: Column) -> Column:
+                return F.when(times > 1, F.concat(F.regexp_replace(first["s"], r"(?U)\s+$", ""), F.lit(" [x"), times.cast("string"), F.lit("]"))).otherwise(first["s"])
+
+            def kept(h: Column) -> Column:
+                one = lambda i, r: F.struct(F.get(rows, i)["at"].alias("at"), said(F.get(rows, i), F.coalesce(F.get(h, r + 1), n) - i).alias("s"))
+                lines = F.transform(F.array_sort(F.transform(h, one)), lambda x: x["s"])
+                return F.when(F.size(h) < n, counted(F.array_join(lines, "\n"), n - F.size(h))).otherwise(counted(part, F.lit(0)))
+
+            return let(heads, kept)
+
+        return let(F.array_sort(F.transform(sentences, row)), fold)
 
     return F.when(F.length(text) >= 40, map_prose(text, segment)).otherwise(counted(text, F.lit(0)))
 

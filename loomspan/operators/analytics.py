@@ -16,6 +16,8 @@ SUMS = [
 ]
 SESSION_SUMS = SUMS[:8]
 QUOTA, DEFAULT_AVERAGE, DEFAULT_LEFT, MIN_SAMPLES = 50_000, 350.0, 100, 5
+#: Questions of a quiz.
+QUIZ = 5
 
 
 def _sums(names: list[str]) -> list[Column]:
@@ -167,16 +169,22 @@ def study_topics(events: DataFrame) -> DataFrame:
 
 
 def flashcards(events: DataFrame) -> DataFrame:
-    """A card for each question with an answer: topics by first appearance among those, then by event; quiz_id for the first five."""
+    """A card for each question with an answer: topics by first appearance among those, then by event; quiz_id and the quiz
+    question for the first five."""
     clean = lambda q: F.when(q.contains("Question:"), strip(F.regexp_replace(q, r"\A[\s\S]*?Question:", ""))).otherwise(q)
     rows = events.where("question <> '' and answer <> ''").withColumn("first_seq", F.min("event_seq").over(Window.partitionBy("session_id", "topic")))
     at = F.row_number().over(Window.partitionBy("session_id").orderBy("first_seq", "event_seq"))
-    rows = rows.withColumn("position", at.cast("long"))
-    return rows.select("session_id", "position", "topic", clean(F.col("question")).alias("question"), first_sentence(F.col("answer")).alias("answer"), F.when(F.col("position") <= 5, F.col("position")).alias("quiz_id"))
+    rows = rows.withColumn("position", at.cast("long")).withColumn("asked", clean(F.col("question")))
+    quiz = F.col("position") <= QUIZ
+    return rows.select(
+        "session_id", "position", "topic", F.col("asked").alias("question"), first_sentence(F.col("answer")).alias("answer"),
+        F.when(quiz, F.col("position")).alias("quiz_id"), F.when(quiz, F.concat(F.lit("In "), "topic", F.lit(": "), "asked")).alias("quiz_question"),
+    )
 
 
 def study_packages(events: DataFrame, log: DataFrame) -> DataFrame:
-    """A row for each session with events: totals, topics, weak topics and the revision sheet in Markdown."""
+    """A row for each session with events or requests: totals, topics, weak topics, cards, quiz and the revision sheet in
+    Markdown. A session without events has empty lists, one without requests zeros."""
     topics, cards = study_topics(events), flashcards(events)
     nth = F.row_number().over(Window.partitionBy("session_id", "topic").orderBy("position"))
     first = cards.withColumn("nth", nth).where("nth <= 2").groupBy("session_id", "topic").agg(F.array_sort(F.collect_list(F.struct("nth", "question", "answer"))).alias("qa"))
@@ -189,11 +197,23 @@ def study_packages(events: DataFrame, log: DataFrame) -> DataFrame:
     rows = rows.withColumn("weak_md", F.when(F.col("weak"), weak)).withColumn("plain_md", F.when(~F.col("weak") & F.col("qa").isNotNull(), plain))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("position", F.col(c).alias("v"))))), lambda x: x["v"])
     rows = rows.withColumn("weak_topic", F.when(F.col("weak"), F.col("topic")))
-    pack = rows.groupBy("session_id").agg(ordered("topic").alias("topics"), ordered("weak_topic").alias("weak_topics"), ordered("weak_md").alias("weak_md"), ordered("plain_md").alias("plain_md"))
+    lists = ("topics", "weak_topics", "weak_md", "plain_md")
+    pack = rows.groupBy("session_id").agg(*(ordered(c).alias(name) for c, name in zip(("topic", "weak_topic", "weak_md", "plain_md"), lists, strict=True)))
+    card = F.struct("position", "topic", "question", "answer")
+    quiz = F.when(F.col("quiz_id").isNotNull(), F.struct(F.col("quiz_id").alias("id"), "topic", F.col("quiz_question").alias("question"), "answer"))
+    decks = cards.groupBy("session_id").agg(F.array_sort(F.collect_list(card)).alias("flashcards"), F.array_sort(F.collect_list(quiz)).alias("mini_quiz"))
+    whole = log.select("session_id").unionAll(events.select("session_id")).distinct().join(pack, "session_id", "left").join(decks, "session_id", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    kinds = {c: "array<string>" for c in lists} | {"flashcards": "array<struct<position:bigint,topic:string,question:string,answer:string>>", "mini_quiz": "array<struct<id:bigint,topic:string,question:string,answer:string>>"}
+    whole = whole.select("session_id", *(none(c, kind) for c, kind in kinds.items()))
+    studied = F.when(F.size("topics") > 0, F.array_join("topics", ", ")).otherwise("None")
     weak_part = F.when(F.size("weak_md") > 0, F.concat(F.lit("## ⚠️ Areas Needing Reinforcement (Struggling Topics)\n"), F.array_join("weak_md", "\n"))).otherwise("## ✅ Great Job! No persistent struggle patterns detected.\n")
-    sheet = F.array_join(F.concat(F.array(F.concat(F.lit("# 5-Minute Revision Sheet — Session `"), F.col("session_id"), F.lit("`\n")), F.concat(F.lit("**Topics Studied**: "), F.array_join("topics", ", "), F.lit("\n")), weak_part, F.lit("## Quick Reference Summary")), F.col("plain_md")), "\n")
-    stats = session_stats(log).withColumn("cache_hit_rate", F.bround("cache_hit_rate", 4))
-    return pack.join(stats, "session_id", "left").select("session_id", "topics", "weak_topics", sheet.alias("revision_sheet"), "requests", "cache_hits", "cache_hit_rate", "saved_tokens", "total_redactions")
+    sheet = F.array_join(F.concat(F.array(F.concat(F.lit("# 5-Minute Revision Sheet — Session `"), F.col("session_id"), F.lit("`\n")), F.concat(F.lit("**Topics Studied**: "), studied, F.lit("\n")), weak_part, F.lit("## Quick Reference Summary")), F.col("plain_md")), "\n")
+    stats = session_stats(log)
+    totals = ["requests", "cache_hits", "saved_tokens", "raw_input_tokens", "upstream_input_tokens", "secrets_redacted", "pii_redacted", "total_redactions"]
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in totals]
+    rate = F.bround(F.coalesce("cache_hit_rate", F.lit(0.0)), 4).alias("cache_hit_rate")
+    return whole.join(stats, "session_id", "left").select("session_id", "topics", "weak_topics", sheet.alias("revision_sheet"), *zero, rate, "flashcards", "mini_quiz")
 
 
 def finish_session(events: DataFrame, log: DataFrame, session_id: str) -> DataFrame:

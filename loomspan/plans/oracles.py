@@ -211,10 +211,16 @@ lines AS (SELECT session_id, topic, string_agg('- **Q**: ' || question || chr(10
 j AS (SELECT tp.*, q >= 3 OR h >= 2 AS weak, upper(left(tp.topic, 1)) || substr(tp.topic, 2) AS title, coalesce(md, '') AS md, first FROM tp LEFT JOIN lines ON tp.session_id = lines.session_id AND tp.topic = lines.topic),
 g AS (SELECT session_id, string_agg(topic, ',' ORDER BY f) AS topics, string_agg(topic, ', ' ORDER BY f) AS shown, coalesce(string_agg(topic, ',' ORDER BY f) FILTER (WHERE weak), '') AS weak_topics,
   string_agg('### ' || title || chr(10) || md, chr(10) ORDER BY f) FILTER (WHERE weak) AS weak_md, string_agg('- **' || title || '**: ' || first, chr(10) ORDER BY f) FILTER (WHERE NOT weak AND first IS NOT NULL) AS plain_md FROM j GROUP BY session_id),
-st AS (SELECT session_id, {_COMMON}{_SESSION_METRICS} FROM log GROUP BY session_id)
-SELECT g.session_id, topics, weak_topics, concat_ws(chr(10), '# 5-Minute Revision Sheet — Session `' || g.session_id || '`' || chr(10), '**Topics Studied**: ' || shown || chr(10),
+st AS (SELECT session_id, {_COMMON}{_SESSION_METRICS} FROM log GROUP BY session_id),
+cd AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY f, event_seq) AS pos FROM (SELECT session_id, topic, event_seq, min(event_seq) OVER (PARTITION BY session_id, topic) AS f,
+  CASE WHEN contains(question, 'Question:') THEN trim(regexp_replace(question, '^[\s\S]*?Question:', '')) ELSE question END AS q, split_part(answer, '. ', 1) || '.' AS a FROM ev WHERE question <> '' AND answer <> '')),
+dk AS (SELECT session_id, string_agg(pos || ' | ' || topic || ' | ' || q || ' | ' || a, chr(10) ORDER BY pos) AS cards, string_agg(pos || ' | ' || topic || ' | In ' || topic || ': ' || q || ' | ' || a, chr(10) ORDER BY pos) FILTER (WHERE pos <= 5) AS quiz FROM cd GROUP BY session_id),
+ses AS (SELECT session_id FROM log UNION SELECT session_id FROM ev)
+SELECT ses.session_id, coalesce(topics, '') AS topics, coalesce(weak_topics, '') AS weak_topics, concat_ws(chr(10), '# 5-Minute Revision Sheet — Session `' || ses.session_id || '`' || chr(10), '**Topics Studied**: ' || coalesce(shown, 'None') || chr(10),
   CASE WHEN weak_md IS NOT NULL THEN '## ⚠️ Areas Needing Reinforcement (Struggling Topics)' || chr(10) || weak_md ELSE '## ✅ Great Job! No persistent struggle patterns detected.' || chr(10) END, '## Quick Reference Summary', plain_md) AS revision_sheet,
-  requests, cache_hits, round_even(cache_hits / requests, 4) AS cache_hit_rate, saved_tokens, secrets_redacted + pii_redacted AS total_redactions FROM g JOIN st ON g.session_id = st.session_id""",
+  coalesce(requests, 0) AS requests, coalesce(cache_hits, 0) AS cache_hits, coalesce(round_even(cache_hits / requests, 4), 0) AS cache_hit_rate, coalesce(saved_tokens, 0) AS saved_tokens, coalesce(raw_input_tokens, 0) AS raw_input_tokens,
+  coalesce(upstream_input_tokens, 0) AS upstream_input_tokens, coalesce(secrets_redacted, 0) AS secrets_redacted, coalesce(pii_redacted, 0) AS pii_redacted, coalesce(secrets_redacted + pii_redacted, 0) AS total_redactions,
+  coalesce(cards, '') AS flashcards, coalesce(quiz, '') AS mini_quiz FROM ses LEFT JOIN g ON g.session_id = ses.session_id LEFT JOIN st ON st.session_id = ses.session_id LEFT JOIN dk ON dk.session_id = ses.session_id""",
     "preamble_strip": f"""
 WITH a AS (SELECT conv_id, turn, {_BARE} AS raw, {_SHORT} AS t FROM conversations), b AS (SELECT *, CASE WHEN length(t) < 2 THEN raw ELSE t END AS u FROM a),
 c AS (SELECT *, CASE WHEN left(u, 1) <> upper(left(u, 1)) THEN upper(left(u, 1)) || substr(u, 2) ELSE u END AS v FROM b)
@@ -369,7 +375,8 @@ SELECT session_id, event_seq, topic, before + 1 AS repeat_count, before + 1 >= 3
     "study_package_topics": f"WITH {_STUDY}, a AS (SELECT session_id, topic, count(*) AS questions, CAST(sum(CAST(cache_hit AS INT)) AS BIGINT) AS cache_hits, min(event_seq) AS f FROM ev GROUP BY session_id, topic) SELECT session_id, topic, row_number() OVER (PARTITION BY session_id ORDER BY f) AS position, questions, cache_hits, questions >= 3 OR cache_hits >= 2 AS weak FROM a",
     "flashcards": rf"""
 WITH {_STUDY}, a AS (SELECT *, min(event_seq) OVER (PARTITION BY session_id, topic) AS f FROM ev WHERE question <> '' AND answer <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY f, event_seq) AS position FROM a)
-SELECT session_id, position, topic, CASE WHEN contains(question, 'Question:') THEN trim(regexp_replace(question, '^[\s\S]*?Question:', '')) ELSE question END AS question, split_part(answer, '. ', 1) || '.' AS answer, CASE WHEN position <= 5 THEN position END AS quiz_id FROM b""",
+SELECT session_id, position, topic, CASE WHEN contains(question, 'Question:') THEN trim(regexp_replace(question, '^[\s\S]*?Question:', '')) ELSE question END AS question, split_part(answer, '. ', 1) || '.' AS answer, CASE WHEN position <= 5 THEN position END AS quiz_id,
+  CASE WHEN position <= 5 THEN 'In ' || topic || ': ' || CASE WHEN contains(question, 'Question:') THEN trim(regexp_replace(question, '^[\s\S]*?Question:', '')) ELSE question END END AS quiz_question FROM b""",
     "verifier_usage": """
 SELECT event_id, CAST(CASE WHEN event_id % 3 = 1 AND event_id % 100 <> 0 THEN event_id % 100 ELSE CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE 0 END + 4 END AS BIGINT) AS tokens_used,
   CASE event_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'unavailable' END AS verdict FROM events""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import comments, pyops, text
 from loomspan.functions import scalars as sc
 from loomspan.operators import analytics, cache, conversation
+from loomspan.sources.tables import EngineConfig
 
 #: (count column, strategy, roles or None, operator) of the per-message steps before and after the session steps.
 BEFORE = [
@@ -34,14 +35,15 @@ def _apply(df: DataFrame, name: str, role: str | None, op) -> DataFrame:
     return df.withColumns({"content": F.when(on, F.col("_o.text")).otherwise(F.col("content")), name: F.coalesce(F.col("_o.n"), F.lit(0)).cast("long")}).drop("_o")
 
 
-def optimise(messages: DataFrame) -> DataFrame:
+def optimise(messages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """messages: request_seq, request_id, session_id, budget_mode, msg_idx, role, content. A row for each valid request: its
     tokens before and after, messages, counts and strategies in order.
 
-    Sessions see their requests in order of request_seq: notes and code that came before are referred to. A request that
+    A request without a budget mode has the configured one. Sessions see their requests in order of request_seq: notes and code that came before are referred to. A request that
     the chain makes longer goes back to its redacted messages.
     """
     rows = conversation.valid_requests(messages, ["request_id"])
+    rows = rows.withColumn("budget_mode", F.coalesce(F.nullif("budget_mode", F.lit("")), F.lit(config.default_budget)))
     rows = rows.withColumn("raw", sc.message_tokens(F.col("content"))).withColumn("_g", F.when(F.col("content").isNotNull(), text.redact(F.col("content"))))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     rows = rows.withColumns({"content": F.col("_g.text"), "secrets_redacted": zero(F.col("_g.secrets")), "pii_redacted": zero(F.col("_g.emails")) + zero(F.col("_g.phones"))}).drop("_g")
@@ -61,7 +63,7 @@ def optimise(messages: DataFrame) -> DataFrame:
     for (name, _), op in zip(HISTORY, (conversation.filter_history, conversation.summarize_history), strict=True):
         wide = wide.withColumn("_f", op(F.col("messages"))).withColumns({"messages": F.col("_f.messages"), name: F.col("_f.n")}).drop("_f")
     wide = wide.withColumn("budget_mode", sc.budget_mode(F.col("budget_mode"), F.col("raw_input_tokens")))
-    wide = wide.withColumn("_s", conversation.shrink(F.col("messages"), F.col("budget_mode")))
+    wide = wide.withColumn("_s", conversation.shrink(F.col("messages"), F.col("budget_mode"), config.verbatim_turns))
     wide = wide.withColumns({"messages": F.col("_s.messages"), "turns_shrunk": F.col("_s.turns_shrunk"), "shrunk": F.col("_s.applied")}).drop("_s")
     total = F.aggregate("messages", F.lit(0).cast("long"), lambda s, m: s + sc.message_tokens(m["content"]))
     wide = wide.withColumn("_new", total).withColumn("reverted", F.col("_new") > F.col("raw_input_tokens"))

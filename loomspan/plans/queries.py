@@ -131,7 +131,7 @@ def cache_hit_counts(spark, sf_dir):
 
 @query
 def guard_counts(spark, sf_dir):
-    r = table(spark, sf_dir, "documents").withColumn("r", text.redact(F.col("text")))
+    r = table(spark, sf_dir, "documents").withColumn("r", text.redact_counts(F.col("text")))
     return r.select("doc_id", F.col("r.secrets").alias("secrets"), (F.col("r.emails") + F.col("r.phones")).alias("pii"))
 
 
@@ -428,7 +428,8 @@ def flashcards(spark, sf_dir):
 @query
 def study_package(spark, sf_dir):
     pack = analytics.study_packages(study_events(spark, sf_dir), request_log(spark, sf_dir))
-    return pack.withColumns({"topics": F.array_join("topics", ","), "weak_topics": F.array_join("weak_topics", ",")})
+    shown = lambda c, first: F.array_join(F.transform(c, lambda x: F.concat_ws(" | ", x[first].cast("string"), x["topic"], x["question"], x["answer"])), "\n")
+    return pack.withColumns({"topics": F.array_join("topics", ","), "weak_topics": F.array_join("weak_topics", ","), "flashcards": shown("flashcards", "position"), "mini_quiz": shown("mini_quiz", "id")})
 
 
 @query

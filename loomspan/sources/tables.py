@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,19 @@ def append(df: DataFrame, path: str, name: str) -> None:
     conform(df, name).write.mode("append").parquet(path)
 
 
+def insert(df: DataFrame, path: str, name: str, key: str) -> DataFrame:
+    """Appends rows under new ids and gives them back with these. Ids are above all that the table has and grow with the
+    rows' partitions; they aren't dense, so that no task has to see all rows. One writer at a time."""
+    spark = df.sparkSession
+    try:
+        known = read_table(spark, path, name)
+    except AnalysisException:  # there is no table yet
+        known = None
+    top = (known.agg(F.max(key)).first()[0] if known is not None else None) or 0
+    append(df.withColumn(key, F.monotonically_increasing_id() + F.lit(top + 1)), path, name)
+    return read_table(spark, path, name).where(F.col(key) > top)
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Requests in JSON lines {request_id, session_id?, stream?, messages: [{role, content}]}: streaming ones and those of
     more than 50 messages are left out. Content may be text or a list of parts."""
@@ -56,32 +70,77 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Provider:
+    """One that may be named without a key: it isn't configured then."""
+
     name: str
     base_url: str
     api_key: str
     model: str
 
+    @property
+    def configured(self) -> bool:
+        return bool(self.api_key)
+
+
+# The chain where none is set up, in order: name, base URL, model, whether it is always part of it.
+CHAIN = [
+    ("google", "https://generativelanguage.googleapis.com/v1beta/openai", "gemini-3.5-flash", True),
+    ("vercel", "https://ai-gateway.vercel.sh/v1", "openai/gpt-5.5", True),
+    ("ollama", "https://ollama.com/v1", "gpt-oss:20b", False),
+    ("kilo", "https://api.kilo.ai/api/gateway", "openrouter/free", False),
+    ("groq", "https://api.groq.com/openai/v1", "llama-3.1-8b-instant", True),
+]
+
+
+def default_providers(options: dict[str, str]) -> list[Provider]:
+    """The chain, with <name>_base_url, <name>_api_key and <name>_model from the options; some only if one of the first two is
+    set."""
+    own = lambda name, what, default="": options.get(f"{name}_{what}") or default
+    part = [row for row in CHAIN if row[3] or own(row[0], "api_key") or own(row[0], "base_url")]
+    return [Provider(name, own(name, "base_url", url), own(name, "api_key"), own(name, "model", model)) for name, url, model, _ in part]
+
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Settings, from plain options (a Spark conf, an environment or a dotenv file)."""
+    """Settings, from plain options (a Spark conf, an environment or a dotenv file). cache.resolve() takes the thresholds and
+    whether soft hits are verified, pipeline.optimise() the default mode and the turns that are kept word for word."""
 
     hard_threshold: float = 0.95
     soft_threshold: float = 0.90
     default_budget: str = "normal"
     verify_soft_hits: bool = True
     verbatim_turns: int = 2
+    embedding_backend: str = "hash"
     providers: tuple[Provider, ...] = field(default=())
 
     @classmethod
     def of(cls, options: dict[str, str]) -> EngineConfig:
-        number = lambda k, d: float(options.get(k, d))
-        hard, soft = number("hard_threshold", 0.95), number("soft_threshold", 0.90)
-        if "threshold" in options and "hard_threshold" not in options:
-            hard = float(options["threshold"])
-            soft = min(hard, soft)
+        single = options.get("threshold")
+        hard = float(options.get("hard_threshold") or single or 0.95)
+        soft = float(options.get("soft_threshold") or 0.90)
         kept = options.get("verbatim_turns", "2")
-        return cls(hard, soft, options.get("default_budget", "normal").lower(), options.get("verify_soft_hits", "true").lower() not in ("0", "false", "no"), max(0, int(kept)) if kept.lstrip("-").isdigit() else 2, tuple(providers(options)))
+        return cls(
+            hard, min(hard, soft) if single and not options.get("hard_threshold") else soft, options.get("default_budget", "normal").lower(),
+            options.get("verify_soft_hits", "true").strip().lower() not in ("0", "false", "no", "off"), max(0, int(kept)) if kept.lstrip("-").isdigit() else 2,
+            options.get("embedding_backend", "hash"), tuple(providers(options) or default_providers(options)),
+        )
+
+    @classmethod
+    def from_session(cls, spark: SparkSession, prefix: str = "spark.loomspan.") -> EngineConfig:
+        """Options from the session's settings of that prefix."""
+        return cls.of({k.removeprefix(prefix): v for k, v in spark.conf.getAll.items() if k.startswith(prefix)})
+
+
+def provider_status(spark: SparkSession, config: EngineConfig) -> DataFrame:
+    """name, configured, model of the providers, in order of position."""
+    rows = [(k, p.name, p.configured, p.model) for k, p in enumerate(config.providers)]
+    return spark.createDataFrame(rows, "position int, name string, configured boolean, model string")
+
+
+def health(spark: SparkSession, config: EngineConfig, dimension: int = 384) -> DataFrame:
+    """One row: ok, embedding_backend, embedding_dimension and the providers."""
+    rows = [(True, config.embedding_backend, dimension, [(p.name, p.configured, p.model) for p in config.providers])]
+    return spark.createDataFrame(rows, "ok boolean, embedding_backend string, embedding_dimension int, providers array<struct<name:string,configured:boolean,model:string>>")
 
 
 def providers(options: dict[str, str]) -> list[Provider]:

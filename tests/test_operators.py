@@ -210,12 +210,61 @@ def test_requests_source(spark, tmp_path):
     assert [(r.request_id, r.session_id, r.t) for r in got] == [("a", "default", "hi"), ("a", "default", "x")]
 
 
-def test_config():
+def test_config(spark):
     c = tables.EngineConfig.of({"threshold": "0.8", "verbatim_turns": "x"})
     assert (c.hard_threshold, c.soft_threshold, c.verbatim_turns) == (0.8, 0.8, 2)
+    assert [p.name for p in c.providers] == ["google", "vercel", "groq"] and not any(p.configured for p in c.providers)
     with pytest.raises(ValueError, match="provider_2_model"):
         tables.providers({"provider_2_name": "n", "provider_2_base_url": "u", "provider_2_api_key": "k"})
     assert tables.dotenv("# c\nA=1\nB = 'x'\n", {"A": "0"}) == {"A": "0", "B": "x"}
+    c = tables.EngineConfig.of({"kilo_api_key": "k", "groq_model": "m", "verify_soft_hits": " Off"})
+    assert [(p.name, p.configured, p.model) for p in c.providers][2:] == [("kilo", True, "openrouter/free"), ("groq", False, "m")] and not c.verify_soft_hits
+    one = {f"provider_1_{f}": f for f in ("name", "base_url", "api_key", "model")}
+    spark.conf.set("spark.loomspan.soft_threshold", "0.7")
+    try:
+        assert tables.EngineConfig.from_session(spark).soft_threshold == 0.7
+    finally:
+        spark.conf.unset("spark.loomspan.soft_threshold")
+    c = tables.EngineConfig.of(one)
+    assert tables.provider_status(spark, c).collect()[0][1:] == ("name", True, "model")
+    assert tables.health(spark, c).first().providers[0].name == "name"
+
+
+def test_settings_take_effect(spark):
+    from loomspan.plans import pipeline
+
+    turns = [(1, "r", "s", None, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " + "about the very same subject of sorting lists " * 8) for k in range(7)]
+    df = spark.createDataFrame(turns, "request_seq int, request_id string, session_id string, budget_mode string, msg_idx int, role string, content string")
+    few = pipeline.optimise(df, tables.EngineConfig.of({"default_budget": "saving", "verbatim_turns": "1"})).first()
+    many = pipeline.optimise(df, tables.EngineConfig.of({"default_budget": "critical", "verbatim_turns": "4"})).first()
+    assert (few.budget_mode, many.budget_mode) == ("saving", "critical") and few.turns_shrunk > many.turns_shrunk
+    asked = spark.createDataFrame([(1, "h", "reject")], "query_id int, question_hash string, verdict string")
+    terms = spark.createDataFrame([(1, 5, 0.92)], "query_id int, idx int, w double")
+    known = spark.createDataFrame([(7, "g")], "entry_id long, question_hash string")
+    own = spark.createDataFrame([(7, 5, 1.0)], "entry_id long, idx int, w double")
+    label = lambda **kw: cache.resolve(asked, known, terms, own, **kw).first().label
+    assert [label(), label(verify=False), label(hard=0.9), label(soft=0.93)] == ["MISS", "SOFT_HIT", "HIT", "MISS"]
+
+
+def test_insert_gives_ids(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    one = tables.insert(spark.createDataFrame([("a", "h"), ("b", "g")], "question string, question_hash string"), path, "cache_entries", "entry_id").collect()
+    two = tables.insert(spark.range(5).select(F.lit("c").alias("question")), path, "cache_entries", "entry_id").collect()
+    ids = [r.entry_id for r in one + two]
+    assert len(set(ids)) == 7 and min(r.entry_id for r in two) > max(r.entry_id for r in one) and tables.read_table(spark, path, "cache_entries").count() == 7
+
+
+def test_sessions_without_events_or_requests(spark):
+    """A package is made for whoever asked or studied, and for nobody else."""
+    log = spark.createDataFrame([("r", True, 10, 4, 2, 1)], "session_id string, cache_hit boolean, raw_input_tokens long, saved_tokens long, secrets_redacted long, pii_redacted long")
+    log = tables.conform(log, "request_log")
+    events = tables.conform(spark.createDataFrame([(1, "e", "sorting", "How?", "So. And so.", False)], "event_seq long, session_id string, topic string, question string, answer string, cache_hit boolean"), "study_events")
+    asked, studied = (analytics.finish_session(events, log, s).collect() for s in ("r", "e"))
+    assert (asked[0].requests, asked[0].raw_input_tokens, asked[0].secrets_redacted, asked[0].pii_redacted, asked[0].topics, asked[0].flashcards) == (1, 10, 2, 1, [], [])
+    assert "**Topics Studied**: None\n" in asked[0].revision_sheet
+    assert (studied[0].requests, studied[0].cache_hit_rate, studied[0].topics) == (0, 0.0, ["sorting"])
+    assert studied[0].mini_quiz[0].question == "In sorting: How?" and studied[0].flashcards[0].answer == "So."
+    assert analytics.finish_session(events, log, "x").count() == 0
 
 
 def test_catalog(spark):
