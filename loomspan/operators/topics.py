@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspan.functions.core import collapse, let, strip
+from loomspan.functions.core import collapse, strip
 
 # Words that are no topic, and how questions begin.
 STOP_WORDS = (
@@ -37,24 +41,30 @@ def new_topic(clean: Column) -> Column:
     return F.when(clean == "", "general").when(F.size(own) > 0, F.array_join(F.slice(own, 1, 3), " ")).otherwise(F.array_join(F.slice(words, 1, 2), " "))
 
 
-def topic(clean: Column, known: Column) -> Column:
-    """The first known topic that contains the question or is contained in it, by text or by all its own words; or a new one."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
+def _known(clean: str, topics: dict[str, frozenset[str]]) -> str | None:
+    """The first known topic that contains the question or is contained in it, by text or by all its own words."""
+    words = frozenset(clean.split(" "))
+    return next((t for t, own in topics.items() if t in clean or clean in t or own and own <= words), None)
 
-    def fits(t: Column) -> Column:
-        own = F.array_except(F.split(t, " "), stop)
-        return clean.contains(t) | t.contains(clean) | ((F.size(own) > 0) & (F.size(F.array_except(own, F.split(clean, " "))) == 0))
 
-    plain = F.transform(known, lambda t: strip(F.lower(t)))
-    return let(F.filter(plain, fits), lambda hits: F.when(clean == "", "general").when(F.size(hits) > 0, F.element_at(hits, 1)).otherwise(new_topic(clean)))
+def extract_topics(events: DataFrame, session: str, order: str, question: str) -> DataFrame:
+    """events with their topic. A session's questions stream through one worker in order; what is held is the topics that it
+    has so far, so that a long session costs its questions times its topics. Empty questions are about "general"."""
+    rows = events.select(F.col(session).alias("s"), F.col(order).alias("at"), clean_question(F.coalesce(question, F.lit(""))).alias("q"))
+    rows = rows.withColumn("new", new_topic(F.col("q"))).repartition("s").sortWithinPartitions("s", "at", "q")
+    schema = T.StructType([T.StructField(session, rows.schema["s"].dataType), T.StructField(order, rows.schema["at"].dataType), T.StructField("topic", T.StringType())])
+    stop = frozenset(STOP_WORDS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, topics = object(), {}
+        for b in batches:
+            out = []
+            for s, q, new in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                if s != now:
+                    now, topics = s, {}
+                found = new if not q else _known(q, topics) or new
+                topics.setdefault(found.lower().strip(), frozenset(found.lower().strip().split(" ")) - stop)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [session, order, "topic"])
 
-def extract_topics(events: DataFrame, session: str, order: str, question: str) -> DataFrame:
-    """events with their topic. A session's questions are folded in order: the topics so far decide where the next one goes.
-    The fold holds one session's questions at a time."""
-    rows = events.select(session, F.struct(F.col(order).alias("at"), clean_question(F.coalesce(question, F.lit(""))).alias("q")).alias("r"))
-    lists = rows.groupBy(session).agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    start = F.array().cast("array<string>")
-    topics = F.aggregate("rows", start, lambda seen, r: F.concat(seen, F.array(topic(r["q"], F.array_distinct(seen)))))
-    out = lists.select(session, F.explode(F.arrays_zip(F.col("rows").getField("at").alias("at"), topics.alias("topic"))).alias("x"))
-    return out.select(session, F.col("x.at").alias(order), F.col("x.topic").alias("topic"))
+    return rows.mapInArrow(run, schema)

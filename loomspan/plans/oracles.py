@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.functions import scalars, text
-from loomspan.operators import conversation, topics
+from loomspan.plans import fixed
 from loomspan.plans.inputs import REQUEST_LOG, STUDY_EVENTS, sql
 
 _LOG = f"log AS ({sql(REQUEST_LOG)})"
@@ -49,9 +48,9 @@ def _hits(c: str, pattern: str) -> str:
 
 
 _GUARD = f"""
-WITH s AS (SELECT doc_id, {_hits('text', text.KEY_VALUE)} AS secrets, {_tag('text', text.KEY_VALUE, 'SECRET', chr(92) + '1', chr(92) + '3')} AS t FROM documents),
-m AS (SELECT doc_id, secrets, {_hits('t', text.EMAIL)} AS mails, {_tag('t', text.EMAIL, 'EMAIL')} AS t FROM s)
-SELECT doc_id, secrets, mails, {_hits('t', text.PHONE)} AS phones, {_tag('t', text.PHONE, 'PHONE')} AS t FROM m
+WITH s AS (SELECT doc_id, {_hits('text', fixed.KEY_VALUE)} AS secrets, {_tag('text', fixed.KEY_VALUE, 'SECRET', chr(92) + '1', chr(92) + '3')} AS t FROM documents),
+m AS (SELECT doc_id, secrets, {_hits('t', fixed.EMAIL)} AS mails, {_tag('t', fixed.EMAIL, 'EMAIL')} AS t FROM s)
+SELECT doc_id, secrets, mails, {_hits('t', fixed.PHONE)} AS phones, {_tag('t', fixed.PHONE, 'PHONE')} AS t FROM m
 """
 
 _EMBED = r"""
@@ -92,7 +91,7 @@ conv AS (SELECT *, max(CASE WHEN role = 'user' THEN p ELSE 0 END) OVER (PARTITIO
 _MODE = "['saving', 'critical', 'normal'][conv_id % 3 + 1]"
 _SUMMARY = rf"""CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'AI' ELSE role END || ': ' ||
   CASE WHEN length({_collapse('text')}) > 90 THEN regexp_replace(left({_collapse('text')}, 90), ' [^ ]*$', '') || '...' ELSE {_collapse('text')} END"""
-_DIRECTIVE = "CASE mode " + " ".join(f"WHEN '{k}' THEN {_quote(v)}" for k, v in scalars.DIRECTIVES.items()) + " ELSE '' END"
+_DIRECTIVE = "CASE mode " + " ".join(f"WHEN '{k}' THEN {_quote(v)}" for k, v in fixed.DIRECTIVES.items()) + " ELSE '' END"
 _SHRUNK = f"""
 {_CONV},
 tot AS (SELECT conv_id, sum({_tokens('text')} + 4) AS raw FROM conv GROUP BY conv_id),
@@ -132,14 +131,14 @@ rc AS (SELECT nw.*, tp.topic, {_cap('budget_mode')} AS max_output_tokens, CAST(C
   FROM nw LEFT JOIN tp ON nw.request_id = tp.request_id)
 """
 
-_KEYWORDS = f"list_filter(list_distinct(regexp_extract_all(lower(%s), '[a-zA-Z0-9_]{{3,}}')), lambda w: NOT list_contains({_list(conversation.STOP_WORDS)}, w))"
+_KEYWORDS = f"list_filter(list_distinct(regexp_extract_all(lower(%s), '[a-zA-Z0-9_]{{3,}}')), lambda w: NOT list_contains({_list(fixed.CONVERSATION_STOP_WORDS)}, w))"
 
 _SENT = r"string_split(regexp_replace(regexp_replace(%s, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1), 'g'), chr(1))"
 
 
 def _phrases() -> str:
     out = "'In order to begin, due to the fact that it helps: ' || text || ' I really need to know it as well as a number of things.'"
-    for phrase, short in sorted(text.PHRASES, key=lambda x: -len(x[0])):
+    for phrase, short in sorted(fixed.PHRASES, key=lambda x: -len(x[0])):
         out = rf"regexp_replace({out}, {_quote(chr(92) + 'b' + phrase + chr(92) + 'b')}, {_quote(short)}, 'gi')"
     return f"SELECT doc_id, regexp_replace({out}, '  +', ' ', 'g') AS text FROM documents"
 
@@ -169,24 +168,24 @@ SELECT raw.user_id, CASE WHEN length(raw.t) > 100 AND n > 0 THEN ag.t ELSE raw.t
 
 
 _CLEAN_Q = _strip(r"lower(regexp_replace('Can you please explain the concept of ' || text || '?', '^[\s\S]*?Question:', ''))")
-for _p in topics.PREFIXES:
+for _p in fixed.TOPIC_PREFIXES:
     _CLEAN_Q = _strip(f"regexp_replace({_CLEAN_Q}, {_quote(_p)}, '', 'i')")
 _CLEAN_Q = _collapse(rf"regexp_replace({_CLEAN_Q}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g')")
 
 _CLEAN_EVENT = _strip(r"lower(regexp_replace(question, '^[\s\S]*?Question:', ''))")
-for _p in topics.PREFIXES:
+for _p in fixed.TOPIC_PREFIXES:
     _CLEAN_EVENT = _strip(f"regexp_replace({_CLEAN_EVENT}, {_quote(_p)}, '', 'i')")
 _CLEAN_EVENT = _collapse(rf"regexp_replace({_CLEAN_EVENT}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g')")
 
 _NOTE = r"regexp_replace(c.text, '\s+', ' ', 'g') || chr(10) || chr(10) || 'Note: ' || regexp_replace(b.text, '\s+', ' ', 'g') || ' ' || repeat('and so on ', 10)"
 
 _BARE = "'Hi professor! I hope you are doing well. I have an exam tomorrow morning. Could you please tell me ' || text || ' Thanks so much in advance!'"
-_SHORT = _strip(f"regexp_replace({_BARE}, {_quote(f'^(?:{text.GREETING})+')}, '', 'i')")
-for _p in [text.PLEASANTRY.removeprefix("(?iU)")]:
+_SHORT = _strip(f"regexp_replace({_BARE}, {_quote(f'^(?:{fixed.GREETING})+')}, '', 'i')")
+for _p in [fixed.PLEASANTRY.removeprefix("(?iU)")]:
     _SHORT = _strip(f"regexp_replace({_SHORT}, {_quote(_p)}, '', 'i')")
-for _p in [*text.PREAMBLES, text.HEDGES]:
+for _p in [*fixed.PREAMBLES, fixed.HEDGES]:
     _SHORT = _strip(f"regexp_replace({_SHORT}, {_quote(_p)}, '', 'gi')")
-_SHORT = _strip(f"regexp_replace({_SHORT}, {_quote(rf'[,.{chr(92)}s{chr(92)}-—]*(?:{text.SIGNOFF}[,.{chr(92)}s!]*)+$')}, '', 'i')")
+_SHORT = _strip(f"regexp_replace({_SHORT}, {_quote(rf'[,.{chr(92)}s{chr(92)}-—]*(?:{fixed.SIGNOFF}[,.{chr(92)}s!]*)+$')}, '', 'i')")
 _SHORT = rf"regexp_replace(regexp_replace(regexp_replace({_SHORT}, '^[,\s.:;\-—]+', ''), '[ \t]+', ' ', 'g'), '[ \t]+([,.?!])', '\1', 'g')"
 _SHORT = _strip(rf"regexp_replace({_SHORT}, '\n{{3,}}', chr(10) || chr(10), 'g')")
 
@@ -244,9 +243,9 @@ r(session_id, k, event_seq, seen, topic) AS (
   UNION ALL
   SELECT x.session_id, x.k, x.event_seq, list_append(x.seen, x.t), x.t FROM (
     SELECT y.session_id, y.k, y.event_seq, y.seen, CASE WHEN y.c = '' THEN 'general' WHEN len(y.hits) > 0 THEN y.hits[1] WHEN len(y.own) > 0 THEN array_to_string(y.own[1:3], ' ') ELSE array_to_string(string_split(y.c, ' ')[1:2], ' ') END AS t FROM (
-      SELECT r.session_id, q.k, q.event_seq, r.seen, q.c, list_filter(string_split(q.c, ' '), lambda w: length(w) > 1 AND NOT list_contains({_list(topics.STOP_WORDS)}, w)) AS own,
-        list_filter(r.seen, lambda s: contains(q.c, s) OR contains(s, q.c) OR (len(list_filter(string_split(s, ' '), lambda w: NOT list_contains({_list(topics.STOP_WORDS)}, w))) > 0
-          AND list_has_all(string_split(q.c, ' '), list_filter(string_split(s, ' '), lambda w: NOT list_contains({_list(topics.STOP_WORDS)}, w))))) AS hits
+      SELECT r.session_id, q.k, q.event_seq, r.seen, q.c, list_filter(string_split(q.c, ' '), lambda w: length(w) > 1 AND NOT list_contains({_list(fixed.TOPIC_STOP_WORDS)}, w)) AS own,
+        list_filter(r.seen, lambda s: contains(q.c, s) OR contains(s, q.c) OR (len(list_filter(string_split(s, ' '), lambda w: NOT list_contains({_list(fixed.TOPIC_STOP_WORDS)}, w))) > 0
+          AND list_has_all(string_split(q.c, ' '), list_filter(string_split(s, ' '), lambda w: NOT list_contains({_list(fixed.TOPIC_STOP_WORDS)}, w))))) AS hits
       FROM r JOIN q ON r.session_id = q.session_id AND q.k = r.k + 1) y) x)
 SELECT session_id, event_seq, topic FROM r WHERE k > 0""",
     "token_estimate": f"SELECT doc_id, CAST({_tokens('text')} AS BIGINT) AS tokens FROM documents",
@@ -277,7 +276,7 @@ SELECT s.doc_id, CASE WHEN length(s.text) >= 40 AND n > 0 THEN t ELSE s.text END
     "phrase_compact": _phrases(),
     "url_clean": rf"""
 WITH u AS (SELECT page_id, url, regexp_extract(url, '^([^?#]*)\?', 1) AS b, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q, regexp_extract(url, '^[^#]*(#.*)$', 1) AS f FROM pages),
-k AS (SELECT *, array_to_string(list_transform(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT list_contains({_list(text.TRACKING)}, lower(split_part(p, '=', 1)))), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') AS n FROM u)
+k AS (SELECT *, array_to_string(list_transform(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT list_contains({_list(fixed.TRACKING)}, lower(split_part(p, '=', 1)))), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') AS n FROM u)
 SELECT page_id, CASE WHEN q = '' THEN url ELSE b || CASE WHEN n <> '' THEN '?' || n ELSE '' END || f END AS url FROM k""",
     "structural_normalize": rf"""
 WITH t AS (SELECT doc_id, text || chr(10) || '---' || chr(10) || '|  a  | b |' || chr(10) || chr(9) || 'x  y ' || repeat(chr(10), 4) || 'see https://a.example/p?q=1#top' || chr(10) AS t FROM documents),
@@ -367,7 +366,7 @@ SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY o) - 1 AS
     "session_topics": f"WITH {_STUDY}, a AS (SELECT session_id, topic, min(event_seq) AS f FROM ev GROUP BY session_id, topic) SELECT session_id, topic, row_number() OVER (PARTITION BY session_id ORDER BY f) AS position FROM a",
     "latest_code_snapshot": "SELECT CAST(l_suppkey AS VARCHAR) AS session_id, 'file' || l_linenumber AS file_key, 'x = ' || arg_max(l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS code FROM lineitem GROUP BY l_suppkey, l_linenumber",
     "topic_extract": f"""
-WITH c AS (SELECT conv_id, turn, {_CLEAN_Q} AS c FROM conversations), w AS (SELECT *, list_filter(string_split(c, ' '), lambda x: length(x) > 1 AND NOT list_contains({_list(topics.STOP_WORDS)}, x)) AS own FROM c)
+WITH c AS (SELECT conv_id, turn, {_CLEAN_Q} AS c FROM conversations), w AS (SELECT *, list_filter(string_split(c, ' '), lambda x: length(x) > 1 AND NOT list_contains({_list(fixed.TOPIC_STOP_WORDS)}, x)) AS own FROM c)
 SELECT conv_id, turn, CASE WHEN c = '' THEN 'general' WHEN len(own) > 0 THEN array_to_string(own[1:3], ' ') ELSE array_to_string(string_split(c, ' ')[1:2], ' ') END AS topic FROM w""",
     "struggle": f"""
 WITH {_STUDY}, a AS (SELECT *, count(*) OVER w AS before, coalesce(sum(CAST(cache_hit AS INT)) OVER w, 0) AS hits FROM ev WINDOW w AS (PARTITION BY session_id, lower(topic) ORDER BY event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

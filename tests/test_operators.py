@@ -183,6 +183,14 @@ def test_topics_cluster(spark):
     assert got[("s", 1)] == "normalization" == got[("s", 2)] and got[("s", 3)] == "quicksort recurse" and got[("s", 4)] == "general" and got[("t", 1)] == "quicksort"
 
 
+def test_topics_hold_on_to_words(spark):
+    """Known topics are tried in order of appearance; a topic's own words may stand anywhere in a question."""
+    rows = [("s", 1, "hash tables collide"), ("s", 2, "do tables of hash kind collide often"), ("s", 3, "tables"), ("s", 4, None), ("s", 5, "why is general relativity hard"), ("t", 1, "the of"), ("t", 2, "the of"), (None, 1, "heaps")]
+    got = {(r.s, r.at): r.topic for r in topics.extract_topics(spark.createDataFrame(rows, "s string, at int, q string"), "s", "at", "q").collect()}
+    assert [got["s", k] for k in range(1, 6)] == ["hash tables collide", "hash tables collide", "hash tables collide", "general", "general"]
+    assert got["t", 1] == got["t", 2] == "the of" and got[None, 1] == "heaps"
+
+
 def test_empty_log(spark):
     log = spark.createDataFrame([], tables.SCHEMAS["request_log"])
     totals = analytics.live_metrics(log)
