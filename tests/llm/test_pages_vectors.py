@@ -1,4 +1,4 @@
-"""NN-descent, WARC, HTML extraction and the pipeline: against brute force and on odd rows."""
+"""NN-descent, WARC and HTML extraction: against brute force and on odd rows."""
 
 import gzip
 import hashlib
@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loomspan.llm import entry as llm
 from loomspan.llm import html, vectors, warc
 
@@ -264,18 +263,3 @@ def test_html_query(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.where("n_chars <> length(text) or n_chars = 0").count() == 0
     empty = spark.createDataFrame([(None, None, None, "x")], "page_id long, url string, html string, text string")
     assert html.extract(empty).first().n_chars == 0 and html.extract(empty.limit(0)).count() == 0
-
-
-# pipeline
-
-def test_stages_take_effect(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        assert out.columns[: len(columns)] == columns
-        if name != "mixing":
-            assert out.columns == columns and 0 < out.count() <= docs.count()
-            docs = out.cache()
-    assert len(corpus_pipeline.STAGES) == 5
-    assert corpus_pipeline.run(spark, SF).count() == corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
