@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha1
 
@@ -138,28 +139,41 @@ class _Tests:
     def __init__(self) -> None:
         self.of: list[tuple[str, frozenset]] = []
 
-    def take(self, column: str, values: frozenset) -> None:
-        self.of.append((column, values))
+    def take(self, column: str, values: Iterable) -> None:
+        """A null among the values is equal to nothing."""
+        self.of.append((column, frozenset(v for v in values if v is not None)))
 
     def __call__(self, row: dict) -> bool:
         return all(row[c] in values for c, values in self.of)
 
 
+def _number(text: str | None) -> int | None:
+    """A header's number; foreign files may hold anything."""
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
+def _hexadecimal(digest: str) -> str:
+    """A SHA-1 in hexadecimal, from that or from base 32 of either case; what is neither stays, in lower case."""
+    if len(digest) == 32:
+        try:
+            return base64.b32decode(digest, casefold=True).hex()
+        except ValueError:
+            pass
+    return digest.lower()
+
+
 def _headers(block: bytes) -> dict:
     out: dict = {}
     for line in block.split(b"\r\n")[1:]:
         key, _, value = line.partition(b":")
         out[key.strip().lower()] = value.strip().decode("utf-8", "replace")
-    page = out.get(b"x-page-id")
     refers = out.get(b"warc-refers-to", "").strip("<>") or None
     digest = out.get(b"warc-payload-digest", "")
     if digest.startswith("sha1:"):
-        text = digest[5:]
-        digest = base64.b32decode(text).hex() if len(text) == 32 else text.lower()
-    size = out.get(b"x-payload-length")
+        digest = _hexadecimal(digest[5:])
     return {
-        "record_type": out.get(b"warc-type"), "record_id": out.get(b"warc-record-id", "").strip("<>") or None, "page_id": int(page) if page else None, "url": out.get(b"warc-target-uri"), "date": out.get(b"warc-date"),
-        "refers_to": refers, "declared_digest": digest or None, "declared_bytes": int(size) if size else None, "length": int(out.get(b"content-length", "0")), "http": "application/http" in out.get(b"content-type", ""),
+        "record_type": out.get(b"warc-type"), "record_id": out.get(b"warc-record-id", "").strip("<>") or None, "page_id": _number(out.get(b"x-page-id")), "url": out.get(b"warc-target-uri"), "date": out.get(b"warc-date"),
+        "refers_to": refers, "declared_digest": digest or None, "declared_bytes": _number(out.get(b"x-payload-length")), "length": max(0, _number(out.get(b"content-length")) or 0), "http": "application/http" in out.get(b"content-type", ""),
     }
 
 
@@ -246,7 +260,7 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
             if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in _PUSHED:
-                self.tests.take(f.attribute[0], frozenset([f.value] if isinstance(f, EqualTo) else f.value))
+                self.tests.take(f.attribute[0], [f.value] if isinstance(f, EqualTo) else f.value)
             else:
                 yield f
 

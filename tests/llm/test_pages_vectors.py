@@ -1,5 +1,6 @@
 """NN-descent, WARC and HTML extraction: against brute force and on odd rows."""
 
+import base64
 import gzip
 import hashlib
 import os
@@ -187,6 +188,38 @@ def test_warc_pushdown_and_foreign_files(spark, pages, tmp_path):
     assert warc.read(spark, str(other)).where("page_id = 3").agg(F.sum("payload_bytes")).first()[0] == 305_000
 
 
+def test_warc_headers_of_foreign_files():
+    plain = hashlib.sha1(b"x").digest()
+    block = lambda digest, more="": f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:{digest}\r\n{more}".encode()
+    for text in (base64.b32encode(plain).decode(), base64.b32encode(plain).decode().lower(), plain.hex(), plain.hex().upper()):
+        assert warc._headers(block(text))["declared_digest"] == plain.hex()
+    assert warc._headers(block("1" * 32))["declared_digest"] == "1" * 32
+    row = warc._headers(block("", "X-Page-Id: x7\r\nContent-Length: many\r\n"))
+    assert (row["page_id"], row["length"], row["declared_digest"]) == (None, 0, None)
+
+
+def test_warc_nulls_in_lists(spark, pages, tmp_path):
+    path = str(tmp_path / "a")
+    warc.write(pages, path)
+    every = warc.read(spark, path, "none")
+    for test in ("page_id in (0, null, 100)", "page_id = 0 or page_id = 100", "url in ('n', null)", "page_id = null"):
+        want = {r.record_id for r in every.collect() if {"page_id in (0, null, 100)": r.page_id in (0, 100), "page_id = 0 or page_id = 100": r.page_id in (0, 100), "url in ('n', null)": r.url == "n", "page_id = null": False}[test]}
+        assert {r.record_id for r in every.where(test).collect()} == want
+
+
+def test_warc_files_of_several_ranges(spark, tmp_path):
+    """A file larger than a range is read in parts, and no record twice."""
+    path = str(tmp_path / "big")
+    rng = np.random.default_rng(3)
+    rows = [(k, f"u{k}", rng.bytes(300_000).hex()) for k in range(70)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, path)
+    back = warc.read(spark, path, "digest")
+    assert back.rdd.getNumPartitions() > 1
+    assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in back.collect()} == {k: (len(h), hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows}
+    assert back.count() == 70 and [r.page_id for r in back.where("page_id = 66").collect()] == [66]
+
+
 def test_warc_empty(spark, pages, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
