@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.plans import fixed
+from loomspan.plans import cases, fixed
 from loomspan.plans.inputs import REQUEST_LOG, STUDY_EVENTS, sql
 
 _LOG = f"log AS ({sql(REQUEST_LOG)})"
@@ -380,3 +380,7 @@ SELECT session_id, position, topic, CASE WHEN contains(question, 'Question:') TH
 SELECT event_id, CAST(CASE WHEN event_id % 3 = 1 AND event_id % 100 <> 0 THEN event_id % 100 ELSE CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE 0 END + 4 END AS BIGINT) AS tokens_used,
   CASE event_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'unavailable' END AS verdict FROM events""",
 }
+ORACLES |= cases.ORACLES
+ORACLES["finish_session"] = f"""
+SELECT session_id, topics, requests, cache_hits, raw_input_tokens, upstream_input_tokens, CAST(len(string_split(flashcards, chr(10))) AS INT) AS cards, CAST(len(string_split(mini_quiz, chr(10))) AS INT) AS quiz
+FROM ({ORACLES["study_package"]}) WHERE session_id = 's1'"""

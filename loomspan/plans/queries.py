@@ -12,6 +12,7 @@ from loomspan.functions import comments, pyops, text
 from loomspan.functions import scalars as sc
 from loomspan.operators import analytics, cache, conversation, topics
 
+from loomspan.plans import cases
 from loomspan.plans import pipeline as request_pipeline
 from loomspan.plans.inputs import conversations, request_log, study_events, table
 
@@ -228,8 +229,7 @@ def note_dedup(spark, sf_dir):
     notes = table(spark, sf_dir, "benchmark").withColumn("note", F.concat(F.lit("Note: "), F.regexp_replace("text", r"\s+", " "), F.lit(" "), F.lit("and so on " * 10)))
     c = conversations(spark, sf_dir)
     # the benchmark has an item for each number below its row count
-    count = notes.agg(F.count(F.lit(1)).alias("items"))
-    rows = c.crossJoin(F.broadcast(count)).withColumn("item", F.col("conv_id") % F.col("items"))
+    rows = c.withColumn("item", F.col("conv_id") % notes.count())
     rows = rows.join(notes.select(F.col("item_id").alias("item"), "note"), "item").withColumn("content", F.concat(F.regexp_replace("text", r"\s+", " "), F.lit("\n\n"), "note"))
     return conversation.dedup_notes(rows, "conv_id", ["turn"]).select("conv_id", "turn", "content", "notes_deduplicated")
 
@@ -440,6 +440,9 @@ def verifier_usage(spark, sf_dir):
     return df.select("event_id", sc.tokens_used(F.col("total"), F.col("prompt"), F.col("completion")).alias("tokens_used"), said.alias("verdict"))
 
 
+QUERIES |= cases.QUERIES
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_shrink(spark, sf_dir)
 
