@@ -16,9 +16,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+#: White space as Unicode has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end. Trimming looks at the ends only, where a pattern would try every blank."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def rstrip(c: Column) -> Column:
+    """Without white space at the end."""
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspan.functions.core import FENCE, collapse, counted, let, map_prose, replace_matches, strip
+from loomspan.functions.core import FENCE, collapse, counted, let, map_prose, replace_matches, rstrip, strip
 from loomspan.functions.scalars import digest_name, human_size
 
 # Patterns of secrets, in the order in which they are applied.
@@ -157,7 +157,7 @@ def dedup_sentences(text: Column) -> Column:
             heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(rows, i)["key"] != F.get(rows, i - 1)["key"]))
 
             def said(first: Column, times: Column) -> Column:
-                return F.when(times > 1, F.concat(F.regexp_replace(first["s"], r"(?U)\s+$", ""), F.lit(" [x"), times.cast("string"), F.lit("]"))).otherwise(first["s"])
+                return F.when(times > 1, F.concat(rstrip(first["s"]), F.lit(" [x"), times.cast("string"), F.lit("]"))).otherwise(first["s"])
 
             def kept(h: Column) -> Column:
                 one = lambda i, r: F.struct(F.get(rows, i)["at"].alias("at"), said(F.get(rows, i), F.coalesce(F.get(h, r + 1), n) - i).alias("s"))
@@ -252,7 +252,7 @@ def normalize_structure(text: Column) -> Column:
         return F.when(part.rlike(URL), let(pairs, join)).otherwise(counted(part, F.lit(0)))
 
     def line(x: Column) -> Column:
-        right = F.regexp_replace(x, r"(?U)\s+$", "")
+        right = rstrip(x)
         bare = strip(x)
         prose = F.when((bare != "") & ~bare.rlike(r"^[-*+>|]|^(?U)\d+\."), bare).otherwise(right)
         cells = F.split(F.substring(bare, F.lit(2), F.length(bare) - 2), r"\|", -1)
