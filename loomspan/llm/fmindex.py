@@ -104,32 +104,39 @@ class FMIndex:
     def covered(self, text: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, least: np.ndarray) -> np.ndarray:
         """For each position of text, whether the window that starts there lies in one of the runs text[first:last] and occurs
         as often as the run asks for. All runs are searched at once: each from its end backward, as long as what was read
-        occurs often enough; that gives a maximal match and all windows in it, and the search goes on at the last end of a
-        window that begins before the match or, if the match was shorter than a window, one position before."""
+        occurs often enough. That gives a maximal match and all windows in it, and the search goes on at the last end of a
+        window that begins before the match. After a match that is shorter than a window a few symbols around its beginning
+        are looked up first: where they are too rare by themselves, no window that holds them is left to try."""
         edge = np.zeros(len(text) + 1, np.int64)
+        few = max(2, window // 4)
         alive = last - first >= window
         first, end, least = first[alive], last[alive].copy(), least[alive]
-        at = end.copy()
-        low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        at, low, high = end.copy(), np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+        probe, back, stop = np.zeros(len(end), bool), end.copy(), first.copy()  # while probing: the end before, and where it is over
         while len(at):
             symbol = text[at - 1]
-            new = at == end
             a, b = self.starts[symbol], self.starts[symbol + 1]
-            old = np.flatnonzero(~new)
+            old = np.flatnonzero(at < end)
             if len(old):
                 s = symbol[old]
-                both = self.rank(np.r_[s, s], np.r_[low[old], high[old]])
+                both = self.rank(np.concatenate([s, s]), np.concatenate([low[old], high[old]]))
                 a[old], b[old] = self.starts[s] + both[: len(s)], self.starts[s] + both[len(s) :]
             low, high = a, b
             good = high - low >= least
             at = at - good
-            whole = good & (at == first)
-            stop = whole | ~good
-            found = stop & (end - at >= window)
+            over = ~good | (at == stop)
+            if not over.any():
+                continue
+            whole = over & good & ~probe
+            found = over & ~probe & (end - at >= window)
             np.add.at(edge, at[found], 1)
             np.add.at(edge, end[found] - window + 1, -1)
-            end = np.where(~stop, end, np.where(found, at + window - 1, end - 1))
-            at = np.where(stop, end, at)
-            alive = ~whole & (end - first >= window)
-            first, end, at, low, high, least = (x[alive] for x in (first, end, at, low, high, least))
+            start = over & ~probe & ~found & (end - at > few)
+            new = np.where(found, at + window - 1, np.where(probe, np.where(good, back, end) - 1, end - 1))
+            back, stop = np.where(start, end, back), np.where(start, at - 1, np.where(over, first, stop))
+            end = np.where(start, at + few - 1, np.where(over, new, end))
+            at, probe = np.where(over, end, at), np.where(over, start, probe)
+            keep = ~whole & (probe | (end - first >= window))
+            if not keep.all():
+                first, end, at, low, high, least, probe, back, stop = (x[keep] for x in (first, end, at, low, high, least, probe, back, stop))
         return np.cumsum(edge)[:-1] > 0
