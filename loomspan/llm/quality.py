@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import fold, materialize, quoted, scratch
-from loomspan.llm.words import Words, pieces
+from loomspan.llm.words import Words, pieces, raw
 
 #: Labelled rows, and texts of the corpus, that the network's steps go over, at most about twice and once this number; which
 #: ones they are depends on doc_id alone.
 SAMPLE = 12_000
-#: Unit of the features' sums.
-_UNIT = 1 << 16
+#: Unit of the features' sums; rows that a model scores at a time.
+_UNIT, _ROWS = 1 << 16, 2048
 _HIDDEN, _EPOCHS, _BATCH, _RATE, _DECAY, _SEED = 32, 25, 512, 3e-3, 1e-4, 11
 
 _CLASSES = 13
@@ -92,8 +92,10 @@ class Model:
     curve: tuple[float, float] = (1.0, 0.0)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
+        """Some rows at a time: x may be all that was drawn."""
         a, b, c, d = self.layers
-        return np.tanh((x - self.mean) / self.scale @ a + b) @ c + d
+        parts = [np.tanh((x[k : k + _ROWS] - self.mean) / self.scale @ a + b) @ c + d for k in range(0, len(x), _ROWS)]
+        return np.concatenate(parts) if parts else np.empty(0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.curve[0] * self.raw(x) + self.curve[1])
@@ -126,13 +128,12 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float, mean: np.ndarray, scale:
     wide = p.shape[1]
     layers = [rng.normal(0, 1 / np.sqrt(wide), (wide, _HIDDEN)), np.zeros(_HIDDEN), rng.normal(0, 1 / np.sqrt(_HIDDEN), _HIDDEN), np.zeros(1)]
     first, second, step = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers], 0
-    p, u = (p - mean) / scale, (u - mean) / scale
     for _ in range(_EPOCHS):
         turns = max(1, -(-max(len(p), len(u)) // _BATCH))
         rows_p, rows_u = (np.resize(rng.permutation(len(x)), turns * _BATCH) for x in (p, u))
         for k in range(turns):
             cut = slice(k * _BATCH, (k + 1) * _BATCH)
-            _, grads = risk(layers, p[rows_p[cut]], u[rows_u[cut]], prior)
+            _, grads = risk(layers, (p[rows_p[cut]] - mean) / scale, (u[rows_u[cut]] - mean) / scale, prior)
             step += 1
             for i, grad in enumerate(grads):
                 grad = grad + (_DECAY * layers[i] if i in (0, 2) else 0)
@@ -184,7 +185,6 @@ def fit(x: np.ndarray, y: np.ndarray, u: np.ndarray, mean: np.ndarray, scale: np
     wide = len(mean)
     if not (y == 1).any() or not len(u):
         return Model(np.zeros(wide), np.ones(wide), [np.zeros((wide, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
-    x, u = x.astype(np.float64), u.astype(np.float64)
     good = x[y == 1]
     aside = np.arange(len(good)) % 5 == 4
     p, rest = good[~aside], good[aside] if aside.any() else good
@@ -234,7 +234,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sam
 
     table = materialize(both.mapInArrow(run, "kind int, x binary, at int, n long, squares long"), "features")
     drawn = table.where("kind < 3").select("kind", "x").toArrow()
-    kind, x = drawn.column(0).to_numpy(), np.frombuffer(b"".join(drawn.column(1).to_pylist()), np.float32).reshape(-1, wide)
+    kind = drawn.column(0).to_numpy()
+    x = np.concatenate([np.empty((0, wide), np.float32), *(np.frombuffer(raw(c)[0], np.float32).reshape(-1, wide) for c in drawn.column(1).chunks if len(c))])
+    del drawn
     order = np.lexsort((*x.T[:8], x.sum(1), kind)) if len(x) else np.empty(0, np.int64)
     kind, x = kind[order], x[order]
     every = table.where("kind = 3").groupBy("at").agg(F.sum("n"), F.sum("squares")).orderBy("at").toArrow()

@@ -49,9 +49,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a text column and n + 1 offsets into them; null counts as empty."""
+    """Bytes of a column of texts, in UTF-8, or of bytes, and n + 1 offsets into them; null counts as empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     if not len(texts):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
