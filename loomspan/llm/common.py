@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: One word: a run of bytes that are neither a blank nor one of TAB..CR.
@@ -105,9 +105,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _stated(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """edges written, and their number and a sum of their hashes, which the writing job sees on its way."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")), F.lit(0)).alias("h")
+    out = materialize(edges.observe(seen, *sums), tag)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -119,8 +122,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     with very many neighbours is a skewed join that adaptive execution splits, never one task's group.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    e = materialize(e, tag)
-    state = _state(e)
+    e, state = _stated(e, tag)
     while state[0]:
         sym = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
@@ -134,8 +136,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             .unionAll(joined.select(F.col("m").alias("lo"), "hi"))
             .distinct()
         )
-        e = materialize(small, tag)
-        now = _state(e)
+        e, now = _stated(small, tag)
         if now == state:
             break
         state = now
