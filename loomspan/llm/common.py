@@ -40,10 +40,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again. Cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again. Cuts the lineage, survives lost executors. rows: a bound on
+    their number; where it is small, so is the number of files, 8 or one for each 2**18 rows."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, rows >> 18))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -105,11 +106,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _stated(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
-    """edges written, and their number and a sum of their hashes, which the writing job sees on its way."""
+def _stated(edges: DataFrame, tag: str, most: int) -> tuple[DataFrame, tuple]:
+    """edges, `most` of them at most, written, and their number and a sum of their hashes, which the writing job sees."""
     seen = Observation()
     sums = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")), F.lit(0)).alias("h")
-    out = materialize(edges.observe(seen, *sums), tag)
+    out = materialize(edges.observe(seen, *sums), tag, most)
     return out, (seen.get["n"], seen.get["h"])
 
 
@@ -122,7 +123,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     with very many neighbours is a skewed join that adaptive execution splits, never one task's group.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    e, state = _stated(e, tag)
+    e, state = _stated(e, tag, edges.count())
     while state[0]:
         sym = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
@@ -136,7 +137,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             .unionAll(joined.select(F.col("m").alias("lo"), "hi"))
             .distinct()
         )
-        e, now = _stated(small, tag)
+        e, now = _stated(small, tag, 2 * state[0])
         if now == state:
             break
         state = now

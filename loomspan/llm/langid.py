@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import fold, materialize, scratch
-from loomspan.llm.words import CHUNK, mix, pieces, raw
+from loomspan.llm.words import CHUNK, mix, pieces, raw, within
 
 #: Hash buckets for n-grams; the model holds this many numbers for each language, and at most so many languages: those with
 #: the most n-grams, so that a column of stray values doesn't make the model grow.
@@ -150,8 +150,9 @@ def _em(like: np.ndarray, times: np.ndarray, first: np.ndarray, doc: np.ndarray,
     """Shares of the languages, from those at the start, and log-likelihood, for each document. like: (words, languages)
     scaled; times: how often each word stands in its document."""
     for _ in range(steps):
-        part = like * share[doc]
-        total = np.maximum(part.sum(1), 1e-30)
+        part = share[doc]
+        part *= like
+        total = np.maximum(part @ np.ones(part.shape[1], part.dtype), 1e-30)
         part *= (times / total)[:, None]
         share = np.add.reduceat(part, first, axis=0)
         share /= np.maximum(share.sum(1, keepdims=True), 1e-30)
@@ -170,7 +171,7 @@ def _words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, ...]:
     sizes = np.diff(np.r_[begins, len(code)])
     with np.errstate(over="ignore"):
         same = np.add.reduceat(mix(code.astype(np.uint64) + np.uint64(0xABCDEF)), begins) + mix(sizes.astype(np.uint64))
-    order = np.lexsort((same, word_doc))
+    order = within(word_doc, same)
     new = np.ones(len(order), bool)
     new[1:] = (same[order][1:] != same[order][:-1]) | (word_doc[order][1:] != word_doc[order][:-1])
     start = np.flatnonzero(new)

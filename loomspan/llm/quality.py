@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import fold, materialize, quoted, scratch
-from loomspan.llm.words import Words, pieces, raw
+from loomspan.llm.words import Words, pieces, raw, within
 
 #: Labelled rows, and texts of the corpus, that the network's steps go over, at most about twice and once this number; which
 #: ones they are depends on doc_id alone.
@@ -43,7 +43,7 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _distinct(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """How many distinct values each document has."""
-    order = np.lexsort((values, doc))
+    order = within(doc, values)
     v, d = values[order], doc[order]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])

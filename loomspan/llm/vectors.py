@@ -269,7 +269,7 @@ def _links(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
-def _merge(found: DataFrame | None, links: DataFrame) -> tuple[DataFrame, int]:
+def _merge(found: DataFrame | None, links: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """found, (node, component), with the links (a, b); and how many pairs of components they join that were apart."""
     if found is not None:
         for end in ("a", "b"):
@@ -284,7 +284,7 @@ def _merge(found: DataFrame | None, links: DataFrame) -> tuple[DataFrame, int]:
         top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
         moved = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         over = moved.unionAll(over.join(found.select("node"), "node", "left_anti"))
-    return materialize(over, "near"), many
+    return materialize(over, "near", rows), many
 
 
 def audit(reps: DataFrame, found: DataFrame, threshold: float, k: int = K) -> float:
@@ -381,23 +381,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
     some = base.where("usable").select("vec_id", "space", "vector").distinct()
     reps = materialize(some.groupBy("space", "vector").agg(F.min("vec_id").alias("uid"), F.count(F.lit(1)).alias("copies")), "reps")
     reps, shared = _numbered(reps)
+    many = reps.count()
     graph = found = None
     for turn in range(TURNS):
         cells = _cells(reps, found, range(turn * TABLES, (turn + 1) * TABLES), threshold, k)
         new = materialize(cells if graph is None else cells.unionAll(new), "cells")
-        found, joined = _merge(found, _links(new, threshold))[0], 1
+        found, joined = _merge(found, _links(new, threshold), many)[0], 1
         rounds = 0
         while joined:
             graph = materialize(_best(new if graph is None else new.unionAll(graph.drop("far")), found, threshold, k), "graph")
             new = materialize(_refine(graph, found, reps, threshold, k, rounds := rounds + 1), "refined")
-            found, joined = _merge(found, _links(new, threshold))
+            found, joined = _merge(found, _links(new, threshold), many)
         recall = audit(reps, found, threshold, k)
         if recall >= RECALL:
             break
     if recall < LEAST:
         raise RuntimeError(f"op3: recall of links is {recall:.4f} after {TURNS} turns of cells and refinement, below {LEAST}")
     if shared is not None:
-        found = _renamed(_merge(found, shared)[0], reps)
+        found = _renamed(_merge(found, shared, many)[0], reps)
     counts = materialize(_count(reps, found, threshold), "counts")
     placed = reps.join(found, F.col("uid") == F.col("node"), "left").join(counts, "uid", "left")
     placed = placed.select("space", "vector", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))

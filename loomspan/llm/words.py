@@ -18,7 +18,7 @@ _LOWER[65:91] += 32
 _PLAIN = _LOWER.copy()
 _PLAIN[[x for x in range(128) if not chr(x).isalnum()]] = 0x20
 #: Text bytes that are worked on at a time; a longer document is worked on alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 class _Powers:
@@ -48,6 +48,27 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def within(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Order by document and then by value, which are hashes: one sort of a number that holds the document and most of the
+    hash. Where two hashes agree in that much the whole of them is looked at."""
+    if not len(doc) or doc[-1] >= 1 << 20 or doc.max() >= 1 << 20:
+        return np.lexsort((value, doc))
+    key = doc.astype(np.uint64) << np.uint64(44) | value >> np.uint64(20)
+    order = np.argsort(key)
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    return order if (value[order[same]] == value[order[same + 1]]).all() else np.lexsort((value, doc))
+
+
+def by_pairs(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Order by major, which repeats little, and then by minor."""
+    order = np.argsort(major)
+    same = major[order[1:]] == major[order[:-1]]
+    tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    some = order[tied]
+    order[tied] = some[np.lexsort((minor[some], major[some]))]
+    return order
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a column of texts, in UTF-8, or of bytes, and n + 1 offsets into them; null counts as empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import common, decontaminate, fmindex, jaccard, langid, mixing, oracles, pii, quality, rtree, substrings
 from loomspan.llm import entry as llm
+from loomspan.llm import words as words_module
 from loomspan.llm.words import mix
 from tests.oracle import assert_same, connect
 
@@ -459,6 +460,19 @@ def test_jaccard_on_odd_rows(odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_orders():
+    rng = np.random.default_rng(13)
+    for high in (1 << 63, 50, 1 << 21):  # ties in all that is compared first, and in all
+        doc, value = np.sort(rng.integers(0, 9, 400)), rng.integers(0, high, 400).astype(np.uint64)
+        order = words_module.within(doc, value)
+        assert (np.c_[doc, value][order] == np.c_[doc, value][np.lexsort((value, doc))]).all()
+        major, minor = rng.integers(0, high, 400), rng.integers(0, 5, 400)
+        order = words_module.by_pairs(major, minor)
+        assert (np.c_[major, minor][order] == np.c_[major, minor][np.lexsort((minor, major))]).all()
+    assert len(words_module.within(doc[:0], value[:0])) == len(words_module.by_pairs(major[:0], minor[:0])) == 0
+    assert words_module.within(np.array([1 << 20, 0]), value[:2]).tolist() == [1, 0]
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(None, 3), (5, 5)]
