@@ -49,6 +49,7 @@ PHRASES = [
 ]
 # Query parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref_src", "ref_url", "yclid", "mc_cid", "mc_eid", "si", "igshid"]
+# Addresses, and lines that only divide.
 URL = r"(?i)https?://[^\s<>\"')]+"
 DELIMITERS = r"(?dm)^[\t ]*([=\-_*~#])\1{7,}[\t ]*$"
 
@@ -316,19 +317,22 @@ def describe_binary(text: Column) -> Column:
     return F.when(F.length(text) > 100, let(map_prose(text, segment), pick)).otherwise(counted(text, F.lit(0)))
 
 
+# Comments of markup that go; what a telling sentence holds, with the weights below.
+HTML_COMMENT = r"<!--(?!\[if\s)[\s\S]*?-->"
+DEFINITION = r"(?iU)\b(?:is defined as|refers to|is the|means that|is a|are a)\b|\b(?:definition|formula|equation|theorem|law|principle|rule)\b"
+FORMULA = r"[=<>≤≥]+.*[a-zA-Z].*[=<>≤≥+\-*/^]"
+
+
 def strip_html_comments(text: Column) -> Column:
     """Comments of markup; conditional ones stay."""
-    pattern = r"<!--(?!\[if\s)[\s\S]*?-->"
-    return counted(F.regexp_replace(text, pattern, ""), F.regexp_count(text, F.lit(pattern)))
+    return counted(F.regexp_replace(text, HTML_COMMENT, ""), F.regexp_count(text, F.lit(HTML_COMMENT)))
 
 
 def sentence_score(s: Column) -> Column:
     """How much a sentence tells: definitions, formulas, bold terms, list items, numbers and length."""
     c = strip(s)
-    define = r"(?iU)\b(?:is defined as|refers to|is the|means that|is a|are a)\b|\b(?:definition|formula|equation|theorem|law|principle|rule)\b"
-    formula = r"[=<>≤≥]+.*[a-zA-Z].*[=<>≤≥+\-*/^]"
     score = (
-        F.when(c.rlike(define), 3.0).otherwise(0.0) + F.when(c.rlike(formula), 4.0).otherwise(0.0) + F.regexp_count(c, F.lit(r"\*\*[^*]+\*\*")) * 1.5
+        F.when(c.rlike(DEFINITION), 3.0).otherwise(0.0) + F.when(c.rlike(FORMULA), 4.0).otherwise(0.0) + F.regexp_count(c, F.lit(r"\*\*[^*]+\*\*")) * 1.5
         + F.when(c.rlike(r"(?U)\A\s*(?:\d+[.):]|[-•*])\s+"), 1.5).otherwise(0.0) + F.when(c.rlike(r"(?U)\d"), 0.5).otherwise(0.0)
         + F.when(F.length(c) > 80, 0.5).otherwise(0.0) - F.when(F.length(c) < 30, 1.0).otherwise(0.0)
     )
