@@ -249,9 +249,9 @@ CHAIN = [
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order is a request of one message, in a session of its own."""
-    k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(k.alias("request_seq"), F.concat(F.lit("r"), k.cast("string")).alias("request_id"), F.concat(F.lit("s"), k.cast("string")).alias("session_id"))
+    """A customer is a request of one message, in a session of its own."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("request_seq"), F.concat(F.lit("r"), k.cast("string")).alias("request_id"), F.concat(F.lit("s"), k.cast("string")).alias("session_id"))
     mode = F.when(F.col("request_seq") % 2 == 0, "normal")
     return rows.select("*", mode.alias("budget_mode"), F.lit(0).alias("msg_idx"), F.lit("user").alias("role"), _picked([c[0] for c in CHAIN], "request_seq").alias("content"))
 
@@ -268,7 +268,7 @@ def _tokens(c: str) -> str:
 
 
 _MADE = f"""
-q AS (SELECT o_orderkey AS k, {_stated([c[0] for c in CHAIN], 'raw', key='o_orderkey')}, {_stated([c[1] for c in CHAIN], 'made', key='o_orderkey')}, {_stated([c[2] for c in CHAIN], 'step', key='o_orderkey')} FROM orders),
+q AS (SELECT c_custkey AS k, {_stated([c[0] for c in CHAIN], 'raw', key='c_custkey')}, {_stated([c[1] for c in CHAIN], 'made', key='c_custkey')}, {_stated([c[2] for c in CHAIN], 'step', key='c_custkey')} FROM customer),
 t AS (SELECT *, CAST({_tokens('raw')} AS BIGINT) AS r, CAST({_tokens('made')} AS BIGINT) AS o FROM q),
 d AS (SELECT *, o > r AS back, step = 'pii_redaction' AS pii FROM t),
 p AS (SELECT *, CASE WHEN back AND NOT pii THEN r ELSE least(o, r) END AS n, concat_ws(',', 'guard_mode', CASE WHEN pii THEN 'pii_redaction' END, CASE WHEN back THEN 'optimization_reverted_no_savings' WHEN step <> '' AND NOT pii THEN step END) AS done FROM d)
