@@ -15,7 +15,8 @@ groups that surviving pairs connect. (2) Keys whose sets lie in several groups g
 group are skipped; the groups then hold every surviving pair. (3) A group's texts meet once: a tree again, whose surviving
 pairs are compared exactly, and pairs that links connect already are skipped. Groups larger than MOST sets or WEIGHT
 shingles meet in chunks, each with the group's first set. (4) Of such groups the keys that still hold several components get
-trees and exact comparisons like any other. No step makes rows of pairs: trees give a spanning forest.
+trees and exact comparisons. A surviving pair needn't be a link, so it joins its two sets here and not their components: what
+else the components hold is still asked for. No step makes rows of pairs: trees give a spanning forest.
 """
 
 from __future__ import annotations
@@ -95,10 +96,12 @@ def levels(num: int, den: int) -> np.ndarray:
     return np.array(start, np.int64)
 
 
-def connect(points: list[np.ndarray], n: np.ndarray, label: np.ndarray, side: np.ndarray, num: int, den: int, accept: Callable[[int, int], bool] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+def connect(points: list[np.ndarray], n: np.ndarray, label: np.ndarray, side: np.ndarray, num: int, den: int, accept: Callable[[int, int], bool] | None = None, apart: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Pairs of rows of different labels, by R-trees of each band of sizes, joined with itself and with the next: those whose
-    bound allows a link and that are accepted, as a forest, and what it connects. Of two sides only pairs across are asked."""
-    joined = np.unique(label, return_inverse=True)[1]
+    bound allows a link and that are accepted, as a forest, and what it connects. Of two sides only pairs across are asked.
+    A pair connects all rows of its labels or, apart, its own two rows only."""
+    labels = np.unique(label, return_inverse=True)[1]
+    joined = np.arange(len(labels)) if apart else labels.copy()
     band, out = np.searchsorted(levels(num, den), n, "right"), []
     sides = np.unique(side)
 
@@ -114,7 +117,7 @@ def connect(points: list[np.ndarray], n: np.ndarray, label: np.ndarray, side: np
             joins = [(here & a, here & b), (here & a, above & b), (here & b, above & a)]
         for x, y in joins:
             left, right = np.flatnonzero(x), np.flatnonzero(y)
-            both = joined[np.r_[left, right]]
+            both = labels[np.r_[left, right]] if apart else joined[np.r_[left, right]]
             if not len(left) or not len(right) or (both == both[0]).all():
                 continue
             width = 2 * min(len(points[r]) for r in (*left.tolist(), *right.tolist()))
@@ -122,12 +125,15 @@ def connect(points: list[np.ndarray], n: np.ndarray, label: np.ndarray, side: np
             two = one if x is y else tree(right, width)
 
             def skip(a: np.ndarray, b: np.ndarray, left=left, right=right) -> bool:
-                first = joined[left[a]]
-                return bool((first == first[0]).all() and (joined[right[b]] == first[0]).all())
+                for of in (joined, labels) if apart else (joined,):
+                    first = of[left[a]]
+                    if (first == first[0]).all() and (of[right[b]] == first[0]).all():
+                        return True
+                return False
 
             for a, b in one.join(two, num, den, skip):
                 for i, j in zip(left[a].tolist(), right[b].tolist(), strict=True):
-                    if joined[i] != joined[j] and (accept is None or accept(i, j)):
+                    if joined[i] != joined[j] and labels[i] != labels[j] and (accept is None or accept(i, j)):
                         out.append((i, j))
                         joined[joined == joined[j]] = joined[i]
     return out, joined
@@ -282,18 +288,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _survivors(tasks: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+def _survivors(tasks: DataFrame, points: DataFrame, num: int, den: int, apart: bool = False) -> DataFrame:
     """tasks: (task, side, rep, label). (near, first, rep): the sets that pairs of different labels under the bound connect, in
-    groups: a number that equal groups share, the smallest rep, and each."""
+    groups: a number that equal groups share, the smallest rep, and each. A pair connects its labels or, apart, its sets only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _runs(batches):
             side, rep, label, n, points = zip(*held, strict=True)
             ids = np.array(rep, np.int64)
-            pairs, joined = connect([np.frombuffer(p, np.uint8) for p in points], np.array(n), np.array(label), np.array(side), num, den)
+            pairs, joined = connect([np.frombuffer(p, np.uint8) for p in points], np.array(n), np.array(label), np.array(side), num, den, apart=apart)
             if not pairs:
                 continue
-            at = np.unique(np.array(pairs))  # what a pair connects with its label only stands for itself
+            at = np.unique(np.array(pairs))  # the rest of a label is in no pair; groups that keep labels whole reach it by the label
             order = at[np.lexsort((ids[at], joined[at]))]
             group, ids = joined[order], ids[order]
             start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -358,9 +364,9 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     each = F.xxhash64("rep")
     sizes = placed.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many"), F.sum("n_shingles").alias("weight"),
-        F.bit_xor(each).alias("x"), F.min("rep").alias("least"), F.max("rep").alias("most"),
+        F.bit_xor(each).alias("x"), F.sum(F.shiftright(each, 24)).alias("y"), F.min("rep").alias("least"), F.max("rep").alias("most"),
     ).where("low <> high")
-    one = sizes.groupBy("x", "least", "most", "many").agg(F.min("key").alias("key"), F.first("weight").alias("weight"))
+    one = sizes.groupBy("x", "y", "least", "most", "many").agg(F.min("key").alias("key"), F.first("weight").alias("weight"))
     rows = placed.join(one.select("key", "many", "weight", _cuts().alias("cuts")), "key")
     rows = materialize(rows.select("key", "rep", "label", "many", "cuts"), "open")
     small = rows.where("cuts = 1").select(F.col("key").alias("task"), F.lit(0).alias("side"), "rep", "label")
@@ -435,7 +441,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     if large.limit(1).count():
         rest = shared.join(members.join(large, "key").select("rep"), "rep", "left_semi")
         labels = near.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-        left = _survivors(_open(rest, near), points, num, den).select(F.col("near").alias("task"), "rep").distinct()
+        left = _survivors(_open(rest, near), points, num, den, True).select(F.col("near").alias("task"), "rep").distinct()
         left = left.join(labels, "rep", "left").select("task", "rep", F.coalesce("label", "rep").alias("label"))
         links = materialize(links.unionByName(_linked(left, docs, points, shingle, num, den)), "links")
         near = components(links, "links")

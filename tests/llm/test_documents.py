@@ -408,6 +408,24 @@ def test_jaccard_against_brute_force(spark, monkeypatch, num, shingle, most):
     assert {x for g in groups.values() if len(g) > 1 for x in g} <= set(reached)
 
 
+def test_jaccard_candidates_do_not_stand_for_links(spark, monkeypatch):
+    """Groups of two linked pairs that meet in different chunks: of the pairs across, all of which survive the trees, one is a link."""
+    monkeypatch.setattr(jaccard, "MOST", 3)
+    rows = {}
+    for q in (4, 12, 20, 24):  # by the hashes of these ids the linked pairs lie in different chunks
+        word = [f"q{q}w{k}" for k in range(120)]
+        rows |= {4 * q + k: " ".join(word[at : at + 103]) for k, at in enumerate((0, 1, 9, 10))}
+    got = jaccard.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_components({k: shingles(t, 4) for k, t in rows.items()}, 85, 100) == {k: k // 4 * 4 for k in rows}
+
+
+def test_jaccard_keys_with_repeated_ids_are_told_apart(spark):
+    """An id that two sets of a key have must not cancel out: keys of {1, 2, 2, 9} and of {1, 3, 3, 9} aren't the same."""
+    shared = spark.createDataFrame([(k, rep, 50) for k, reps in ((7, (1, 2, 2, 9)), (8, (1, 3, 3, 9))) for rep in reps], "key long, rep long, n_shingles long")
+    labels = spark.createDataFrame([], "node long, component long")
+    assert {r.task for r in jaccard._open(shared, labels).collect()} == {7, 8}
+
+
 def test_jaccard_keys_are_complete():
     """Linked sets share a key that both keep, whatever the order of shingles and however many hold each key."""
     rng = np.random.default_rng(4)
